@@ -88,8 +88,10 @@ def rank_relations(relations: DataFrame, most: int | None = None) -> DataFrame:
         + F.when(same, SAME_FILE).otherwise(0.0)
         + F.least(F.lit(EVIDENCE_MOST), EVIDENCE_STEP * (F.col("evidence") - 1))
         - HOP_STEP * (F.col("hop") - 1)
-        - F.coalesce(F.least(F.lit(NEAR_MOST), F.col("near") / NEAR_LINES * NEAR_MOST), F.lit(0.0))
-        - F.when(F.col("source_line") > 0, F.coalesce(F.least(F.lit(LINE_MOST), F.abs(F.col("line") - F.col("source_line")) / LINE_LINES * LINE_MOST), F.lit(0.0))).otherwise(0.0)
+        - F.when(F.col("near").isNotNull(), F.least(F.lit(NEAR_MOST), F.col("near") / NEAR_LINES * NEAR_MOST)).otherwise(0.0)
+        - F.when(
+            (F.col("source_line") > 0) & F.col("line").isNotNull(), F.least(F.lit(LINE_MOST), F.abs(F.col("line") - F.col("source_line")) / LINE_LINES * LINE_MOST)
+        ).otherwise(0.0)
     )
     explain = F.concat_ws(
         " | ",
@@ -107,7 +109,8 @@ def rank_relations(relations: DataFrame, most: int | None = None) -> DataFrame:
 
 def degrees(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """(node, n_out, n_in, degree): both ends in one pass, combined before the shuffle."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col(src).cast("string").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col(dst).cast("string"), F.lit(0), F.lit(1)))).alias("x"))
+    end = lambda c, o: F.struct(F.col(c).cast("string").alias("node"), F.lit(o).alias("o"), F.lit(1 - o).alias("i"))
+    ends = edges.select(F.explode(F.array(end(src, 1), end(dst, 0))).alias("x"))
     return ends.groupBy(F.col("x.node").alias("node")).agg(F.sum("x.o").alias("n_out"), F.sum("x.i").alias("n_in"), F.count("*").alias("degree"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,11 @@ def table_stream(spark: SparkSession, path: str, schema_of: DataFrame, files_per
     return spark.readStream.schema(schema_of.schema).option("maxFilesPerTrigger", files_per_trigger).option("latestFirst", latest_first).parquet(path)
 
 
+def _round(x: float) -> float:
+    """To four digits, halves up, as the batch query rounds."""
+    return float(Decimal(repr(x)).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+
+
 def interest_stream(seen: DataFrame, topic: str, time: str) -> DataFrame:
     """(topic, n, weight): each topic's interest after every micro-batch, kept as state; emits changed topics.
 
@@ -31,7 +37,7 @@ def interest_stream(seen: DataFrame, topic: str, time: str) -> DataFrame:
             for _ in range(len(pdf)):
                 n += 1
                 if n <= 400:  # the fixed point lies well before
-                    weight = round(weight * 0.9 + 1, 4)
+                    weight = _round(weight * 0.9 + 1)
         state.update((n, weight))
         yield pd.DataFrame({topic: [key[0]], "n": [n], "weight": [weight]})
 
@@ -44,7 +50,7 @@ def interest_stream(seen: DataFrame, topic: str, time: str) -> DataFrame:
 
 def timeline_stream(events: DataFrame, time: str, late: str = "400 days") -> DataFrame:
     """(date, n): turns a day, updated as rows come; a day accepts rows as late as the watermark."""
-    days = events.withWatermark(time, late).groupBy(F.window(time, "1 day").alias("w")).agg(F.count("*").alias("n"))
+    days = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, "1 day").alias("w")).agg(F.count("*").alias("n"))
     return days.select(F.to_date("w.start").alias("date"), "n")
 
 
