@@ -93,13 +93,12 @@ def hashes(codes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _features(text: str) -> np.ndarray:
+def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text's n-grams and their shares."""
     codes = _codes(text.lower())
-    x = np.zeros(1 << DIM_BITS, np.float32)
     live = LETTER[codes]
-    for h in hashes(codes):
-        np.add.at(x, h[live], 1.0)
-    return x / max(1, int(live.sum()))
+    at, n = np.unique(np.concatenate([h[live] for h in hashes(codes)]), return_counts=True)
+    return at, n / max(1, int(live.sum()))
 
 
 def _svm(gram: np.ndarray, y: np.ndarray, rounds: int = 40, c: float = 200.0) -> np.ndarray:
@@ -125,22 +124,24 @@ class Model:
         pairs = [(t, l) for t, l in zip(texts, langs) if t and l in known]
         # sentences and their halves, so that short ones are known as well
         sample = [(t[a:b], l) for t, l in pairs for a, b in ((0, None), (0, len(t) // 2), (len(t) // 2, None))]
-        raw = np.stack([_features(t) for t, _ in sample]).astype(np.float64)
-        used = np.flatnonzero(raw.any(0))
-        x = raw[:, used]
+        found = [_features(t) for t, _ in sample]
+        used = np.unique(np.concatenate([at for at, _ in found]))
+        x = np.zeros((len(sample), len(used)), np.float32)
+        for row, (at, share) in zip(x, found):
+            row[np.searchsorted(used, at)] = share
         lang = np.array([l for _, l in sample])
         family = np.array([known[l] for l in lang])
         self.families = [f for f in FAMILIES if f in set(family)]
         self.langs = [l for f in self.families for l in FAMILIES[f] if l in set(lang)]
         self.pairs: list[tuple[str, str]] = []
-        gram = x @ x.T
-        columns = [x.T @ _svm(gram, np.where(family == f, 1.0, -1.0)) for f in self.families]
+        gram = (x @ x.T).astype(np.float64)
+        columns = [_svm(gram, np.where(family == f, 1.0, -1.0)) @ x for f in self.families]
         for f in self.families:
             own = [l for l in FAMILIES[f] if l in self.langs]
             for i, a in enumerate(own):
                 for b in own[i + 1 :]:
                     rows = np.flatnonzero((lang == a) | (lang == b))
-                    columns.append(x[rows].T @ _svm(gram[np.ix_(rows, rows)], np.where(lang[rows] == a, 1.0, -1.0)))
+                    columns.append(_svm(gram[np.ix_(rows, rows)], np.where(lang[rows] == a, 1.0, -1.0)) @ x[rows])
                     self.pairs.append((a, b))
         self.weights = np.zeros((1 << DIM_BITS, len(columns)), np.float32)
         self.weights[used] = np.stack(columns, 1)
