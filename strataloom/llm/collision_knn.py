@@ -21,8 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm import vectors as V
-from strataloom.session import cut
-
 PROJECTIONS = 24
 COLLISIONS = 19  # of 24 windows of two standard deviations: a neighbour at the radius fails with 2 in 1000
 SLOTS = 16  # half width of the last window
@@ -114,7 +112,6 @@ def neighbours(df: DataFrame, key: str, vector: str, size: int, limit: float, k:
     strings and unique. An empty table gives an empty result.
     """
     reps, members = V.copies(V.usable(df, key, vector, size))
-    reps = cut(reps)
     route = V.routing(reps, size)
     laid = V.blocks(reps, route, "named array<string>")
 

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataloom.session import cut
+
 CAPS = 4  # directions a vector joins
 ROWS_PER_DIRECTION = 512
 MOST_DIRECTIONS = 8192
@@ -39,25 +41,27 @@ def usable(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
 
 
 def copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Exact copies of a vector as one: (rep, v, named, n) and members (key, rep).
+    """Exact copies of a vector as one: (rep, v, named, n) and, of groups of several, members (key, rep).
 
-    ``rep`` is the smallest key of the copies, ``named`` its smallest few, ``n`` their number. The names are
-    cut to a few within each task before the shuffle, so a group of a third of all rows stays small.
+    ``rep`` is the smallest key of the copies, ``named`` its smallest few, ``n`` their number. Only keys and hashes
+    are grouped, names cut to a few within each task before the shuffle, so a group of a third of all rows
+    stays small. The vectors move once, by key, and are written once, to the checkpoint folder.
     """
-    marked = vectors.withColumn("h", F.xxhash64("v")).withColumn("h2", F.hash("v"))
-    order = Window.partitionBy("h", "h2").orderBy("key")
-    few = marked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= COPIES_NAMED)
-    reps = few.groupBy("h", "h2").agg(
-        F.min("key").alias("rep"),
-        F.sort_array(F.collect_list("key")).alias("named"),
-        F.min_by("v", "key").alias("v"),
+    marked = vectors.select("key", "v", F.xxhash64("v").alias("h"), F.hash("v").alias("h2"))
+    keys, group = marked.select("key", "h", "h2"), ["h", "h2"]
+    several = keys.groupBy(*group).agg(F.count("*").alias("n"), F.min("key").alias("rep")).where("n > 1")
+    order = Window.partitionBy(*group).orderBy("key")
+    few = keys.withColumn("r", F.row_number().over(order)).where(F.col("r") <= COPIES_NAMED)
+    named = few.groupBy(*group).agg(F.sort_array(F.collect_list("key")).alias("named")).where(F.size("named") > 1)
+    info = keys.join(several.join(named, group), group).select("key", "rep", "n", "named")
+    own = F.coalesce(F.col("rep") == F.col("key"), F.lit(True))
+    all_of = cut(
+        marked.join(info, "key", "left").select(
+            "key", F.coalesce("rep", "key").alias("rep"), F.coalesce("n", F.lit(1)).alias("n"), F.when(own, F.col("v")).alias("v"),
+            F.when(own, F.coalesce("named", F.array("key"))).alias("named"),
+        )
     )
-    counts = marked.groupBy("h", "h2").agg(F.count("*").alias("n"))
-    reps = reps.join(counts, ["h", "h2"])
-    # only groups of several have members besides their rep
-    several = reps.where("n > 1").select("h", "h2", "rep")
-    members = marked.select("key", "h", "h2").join(several, ["h", "h2"]).select("key", "rep")
-    return reps.select("rep", "v", "named", "n"), members
+    return all_of.where("v is not null").select("rep", "v", "named", "n"), all_of.where("n > 1").select("key", "rep")
 
 
 @dataclass
@@ -113,18 +117,20 @@ BLOCK = T.StructType(
 def blocks(reps: DataFrame, route: Routing, extra: str = "") -> DataFrame:
     """(block, side, direction, rep, vec, caps, extras): every vector once for each block it joins.
 
+    ``reps`` has the vectors as arrays ``v`` or as bytes ``vec``.
     ``vec`` is the vector's bytes, ``caps`` those of its directions. A block of a split direction
     has the two parts as sides 0 and 1; ``extra`` names further columns to carry, with their types.
     """
     shared = reps.sparkSession.sparkContext.broadcast(route)  # at most MOST_DIRECTIONS x size numbers: 2 MB at 64
     names = [x.split()[0] for x in extra.split(",") if x.strip()]
+    raw_given = "vec" in reps.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = shared.value
         for pdf in batches:
             if not len(pdf):
                 continue
-            x = np.stack(pdf["v"].to_numpy()).astype(np.float32)
+            x = stack(pdf["vec"], np.float32) if raw_given else np.stack(pdf["v"].to_numpy()).astype(np.float32)
             caps = r.of(unit_rows(x))
             raw, cap_raw = [b.tobytes() for b in x], [c.tobytes() for c in caps]
             row = np.repeat(np.arange(len(x)), caps.shape[1])
@@ -150,7 +156,7 @@ def blocks(reps: DataFrame, route: Routing, extra: str = "") -> DataFrame:
             )
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BLOCK) + (", " + extra if extra else "")
-    some = reps.select("rep", "v", F.pmod(F.xxhash64("rep"), F.lit(1 << 16)).alias("salt"), *names)
+    some = reps.select("rep", "vec" if raw_given else "v", F.pmod(F.xxhash64("rep"), F.lit(1 << 16)).alias("salt"), *names)
     return some.mapInPandas(run, schema)
 
 
