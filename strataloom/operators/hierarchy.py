@@ -41,62 +41,54 @@ def resolve_parents(df: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     )
 
 
-def _coin(col: str, salt: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(col), F.lit(salt)), F.lit(2)) == 1
-
-
-def peel(edges: DataFrame, max_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
+def peel(edges: DataFrame, max_rounds: int = 500) -> tuple[DataFrame, DataFrame]:
     """Contract (id, parent) bottom-up.
 
     Returns ``links(id, anchor, dist)`` of every node taken out, and ``residue(id, low)``:
     what remains, roots with low null, and one node per cycle with the smallest id
-    of its cycle in low.
+    of its cycle in low. A round is one write: children are counted, leaves leave, and of unary nodes those
+    whose hash of the round is below that of their parent and of their child, so no two in a row.
+    The round's number is a column, not a constant, so that all rounds run the same compiled code.
     """
-    live = cut(edges.select("id", "parent", F.lit(1).cast("bigint").alias("len"), F.col("id").alias("low")))
-    gone: list[DataFrame] = []
-    ends: list[DataFrame] = []
-    for k in range(max_rounds):
-        # 1 children per node decide its role: 0 leaf, 1 unary, more: waits
-        kids = live.where("parent is not null and parent != id").groupBy(F.col("parent").alias("pid")).agg(F.count("*").alias("kids"))
-        role = live.join(kids, live.id == kids.pid, "left").select(
-            *live.columns, F.coalesce("kids", F.lit(0)).alias("kids"), (F.col("parent") == F.col("id")).alias("loop")
-        )
-        role = cut(
-            role.withColumn(
-                "act",
-                F.when(F.col("parent").isNull() & (F.col("kids") == 0), "root")
-                .when(F.col("parent").isNull(), "keep")
-                .when(F.col("loop"), F.when(F.col("kids") == 0, "cycle").otherwise("keep"))
-                .when(F.col("kids") == 0, "leaf")
-                .when((F.col("kids") == 1) & _coin("id", k), "skip")
-                .otherwise("keep"),
-            )
+    live = edges.select("id", "parent", F.lit(1).cast("bigint").alias("len"), F.col("id").alias("low"), F.lit(0).alias("k"))
+    rounds: list[DataFrame] = []
+    for _ in range(max_rounds):
+        kids = live.where("parent is not null and parent != id").groupBy(F.col("parent").alias("pid")).agg(F.count("*").alias("kids"), F.max("id").alias("kid"))
+        loop = F.coalesce(F.col("parent") == F.col("id"), F.lit(False))
+        n = F.coalesce("kids", F.lit(0))
+        coin = lambda c: F.xxhash64(F.col(c), F.col("k"))
+        act = (
+            F.when(F.col("parent").isNull(), F.when(n == 0, "root").otherwise("keep"))
+            .when(loop, F.when(n == 0, "cycle").otherwise("keep"))
+            .when(n == 0, "leaf")
+            .when((n == 1) & (coin("id") < coin("parent")) & (coin("id") < coin("kid")), "skip")
+            .otherwise("keep")
         )
-        ends.append(role.where("act in ('root', 'cycle')").select("id", F.when(F.col("loop"), F.col("low")).alias("low")))
-        # 2 a node is skipped only if its parent stays, so links never point to a node that left with it
+        role = live.join(kids, live.id == kids.pid, "left").select(*live.columns, act.alias("act"))
         skips = role.where("act = 'skip'").select(F.col("id").alias("sid"), F.col("parent").alias("sp"), F.col("len").alias("sl"), F.col("low").alias("slow"))
-        skips = skips.join(role.where("act = 'skip'").select(F.col("id").alias("pp")), F.col("sp") == F.col("pp"), "left_anti")
-        skips = cut(skips)
-        gone.append(role.where("act = 'leaf'").select("id", F.col("parent").alias("anchor"), F.col("len").alias("dist"), F.lit(k).alias("round")))
-        gone.append(skips.select(F.col("sid").alias("id"), F.col("sp").alias("anchor"), F.col("sl").alias("dist"), F.lit(k).alias("round")))
-        stay = role.where("act in ('keep', 'skip')").join(skips.select(F.col("sid").alias("id")), "id", "left_anti")
-        live = cut(
-            stay.join(skips, stay.parent == skips.sid, "left").select(
+        # the child of a skipped node is hung to that node's parent
+        moved = F.col("sid").isNotNull()
+        done = cut(
+            role.join(skips, role.parent == skips.sid, "left").select(
                 "id",
-                F.coalesce("sp", "parent").alias("parent"),
+                F.when(moved, F.col("sp")).otherwise(F.col("parent")).alias("parent"),
                 (F.col("len") + F.coalesce("sl", F.lit(0))).alias("len"),
-                F.least("low", F.coalesce("slow", "low")).alias("low"),
+                F.when(moved, F.least("low", "slow")).otherwise(F.col("low")).alias("low"),
+                (F.col("k") + 1).alias("k"),
+                "act",
             )
         )
+        rounds.append(done)
+        live = done.where("act = 'keep'").drop("act")
         if live.isEmpty():
             break
     else:
         raise RuntimeError(f"{max_rounds} rounds did not contract the hierarchy")
-    links, residue = gone[0], ends[0]
-    for x in gone[1:]:
-        links = links.unionByName(x)
-    for x in ends[1:]:
-        residue = residue.unionByName(x)
+    every = rounds[0]
+    for x in rounds[1:]:
+        every = every.unionByName(x)
+    links = every.where("act in ('leaf', 'skip')").select("id", F.col("parent").alias("anchor"), F.col("len").alias("dist"))
+    residue = every.where("act in ('root', 'cycle')").select("id", F.when(F.col("act") == "cycle", F.col("low")).alias("low"))
     return links, residue
 
 
@@ -109,7 +101,7 @@ def roots_and_depths(edges: DataFrame) -> DataFrame:
     """
     links, residue = peel(edges)
     # an end points to itself with distance 0; doubling the anchors leads every node to its end
-    ptr = residue.select("id", F.col("id").alias("anchor"), F.lit(0).cast("bigint").alias("dist")).unionByName(links.drop("round"))
+    ptr = residue.select("id", F.col("id").alias("anchor"), F.lit(0).cast("bigint").alias("dist")).unionByName(links)
     ptr = cut(ptr)
     ends = cut(residue)
     while True:
