@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.llm import bpe, collision_knn, density_peaks, language, mojibake, packing, splitting
 from strataloom.plans.catalog import Catalog
-from strataloom.session import cut, spread
+from strataloom.session import cut
 from strataloom.sources.tables import chunks_in_force, pages_in_force, table
 
 catalog = Catalog()
@@ -44,7 +44,7 @@ def _segments(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame
     chunks = chunks.where(~F.coalesce(F.col("content_type") == "code", F.lit(False)))
     label = language.label_language(F.col("language"))
     keyed = chunks.select(F.struct("chunk_uid", "page_id", label.alias("label")).alias("k"), "content")
-    found = language.segments(spread(keyed), "k", "content", model)
+    found = language.segments(keyed, "k", "content", model)
     return chunks, cut(found.select("k.*", "seg_no", "start", "end", "lang_code", "confidence"))
 
 
