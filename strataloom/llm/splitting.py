@@ -212,10 +212,14 @@ HEADINGS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.
 
 
 @F.pandas_udf(HEADINGS)
-def _headings(text: pd.Series) -> pd.Series:
+def _parsed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"start": s, "level": k, "title": re.sub(r"<[^>]+>", "", h).strip()} for s, k, h in headings(t)] if t else [])
 
 
+# not to be copied into each expression that uses its result
+_headings = _parsed.asNondeterministic()
+
+
 def _pattern(limit: int, fresh: int) -> str:
     """First piece up to ``limit``, each later one up to ``fresh`` code points."""
 
