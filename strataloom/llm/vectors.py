@@ -30,13 +30,18 @@ COPIES_NAMED = 6  # copies that are carried by name: a vector and five others
 
 
 def usable(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
-    """(key, v): rows whose vector has ``size`` numbers, all finite, not all zero; null keys are dropped."""
+    """(key, v): rows whose vector has ``size`` numbers, all finite, not all zero; null keys are dropped.
+
+    A repeated key counts once, with the smallest of its vectors; where rows lie by key, that moves nothing.
+    """
     v = F.col(f"`{vector}`").cast("array<float>")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return (
         df.select(F.col(f"`{key}`").alias("key"), v.alias("v"))
         .where(F.col("key").isNotNull() & F.coalesce(F.size("v") == size, F.lit(False)))
         .where(~bad & F.exists("v", lambda x: x != 0))
+        .groupBy("key")
+        .agg(F.min("v").alias("v"))
     )
 
 

@@ -111,6 +111,13 @@ def test_unusable_and_empty(spark):
     assert found_pairs(none) == set() and found_clusters(none) == set()
 
 
+def test_repeated_rows(spark):
+    names, x = data(8, groups=1, each=4, noise=10)
+    pairs, clusters = brute(names, x)
+    df = frame(spark, names, x)
+    assert found_pairs(df.union(df)) == pairs and found_clusters(df.union(df)) == clusters
+
+
 def test_profiles(spark):
     names, x = data(6, groups=1, each=4, noise=0)
     members = D.cluster(frame(spark, names, x), "chunk_uid", "embedding", SIZE, LIMIT)
