@@ -15,12 +15,26 @@ add = catalog.add
 
 SIZE, LIMIT, NEAREST = 64, 0.85, 5
 
+#: Brute force: every pair of usable vectors in force.
+PAIRS_SQL = """
+    latest AS (SELECT chunk_uid, arg_max({'e': embedding}, indexed_at) AS x FROM chunks WHERE chunk_uid IS NOT NULL GROUP BY 1),
+    raw AS (SELECT chunk_uid AS id, CAST(x.e AS DOUBLE[]) AS v FROM latest WHERE len(x.e) = 64),
+    usable AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM raw WHERE NOT list_bool_or(list_transform(v, lambda y: isnan(y))) AND list_bool_or(list_transform(v, lambda y: y != 0))),
+    pair AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.v, b.v) / (a.n * b.n), 6) AS c FROM usable a, usable b WHERE a.id != b.id AND list_dot_product(a.v, b.v) >= 0.85 * a.n * b.n)
+"""
+
 
 def _clusters(spark: SparkSession, directory: str) -> DataFrame:
     return density_peaks.cluster(chunks_in_force(spark, directory, "embedding"), "chunk_uid", "embedding", SIZE, LIMIT)
 
 
-@add("p1_found")
+@add(
+    "p1_found",
+    f"""WITH RECURSIVE {PAIRS_SQL},
+    reach AS (SELECT a, b FROM pair UNION SELECT r.a, p.b FROM reach r JOIN pair p ON r.b = p.a),
+    cluster AS (SELECT a, least(a, min(b)) AS low FROM reach GROUP BY a)
+    SELECT low AS cluster_key, a AS chunk_uid FROM cluster QUALIFY count(*) OVER (PARTITION BY low) >= 3""",
+)
 def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     return _clusters(spark, directory).select("cluster_key", "chunk_uid")
 
@@ -31,7 +45,12 @@ def p1_profiles(spark: SparkSession, directory: str) -> DataFrame:
     return density_peaks.profiles(_clusters(spark, directory), "chunk_uid", chunks_in_force(spark, directory, "topics"), "topics")
 
 
-@add("p3_found")
+@add(
+    "p3_found",
+    f"""WITH {PAIRS_SQL},
+    best AS (SELECT a, b FROM pair QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5)
+    SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM best""",
+)
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     near = collision_knn.neighbours(chunks_in_force(spark, directory, "embedding"), "chunk_uid", "embedding", SIZE, LIMIT, NEAREST)
     return near.select(F.least("chunk_uid", "other").alias("chunk_a"), F.greatest("chunk_uid", "other").alias("chunk_b")).distinct()
