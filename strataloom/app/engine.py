@@ -119,14 +119,22 @@ class Engine:
 
     # ------------------------------------------------------------ code
 
-    def add_repository(self, path: str, repo_id: str, branch: str = "") -> dict[str, int]:
-        """Index the Python files of a folder: chunks, symbols and edges; files that are gone are pruned."""
+    def add_repository(self, path: str, repo_id: str, branch: str = "", commit: str = "", force: bool = False) -> dict[str, int]:
+        """Index the Python files of a folder: chunks, symbols and edges; files that are gone are pruned.
+
+        A commit that was indexed last is not read again unless forced; the state table has each repository's last one.
+        """
+        state = "repositories"
+        if commit and not force and self.store.exists(state) and not self.store.read(state).where((F.col("repo_id") == repo_id) & (F.col("commit") == commit)).isEmpty():
+            return {"added": 0, "modified": 0, "skipped": 0, "deleted": 0}
         found = files.repository(self.spark, path, repo_id, branch)
         python = found.where("language = 'Python' and not is_test and not is_generated")
         parts = code.chunks(python)
         stats = self.store.sync(f"code_{repo_id}", parts.withColumnRenamed("chunk_id", "id").dropDuplicates(["id"]), "id", "content_hash", prune=True)
         self.store.replace(f"edges_{repo_id}", code.edges(python))
         self.store.replace(f"symbols_{repo_id}", code.symbols(parts))
+        last = self.spark.createDataFrame([(repo_id, commit)], "repo_id string, commit string")
+        self.store.replace(state, index.upsert(self.store.read(state), last, "repo_id") if self.store.exists(state) else last)
         return stats
 
     def remove_repository(self, repo_id: str) -> int:

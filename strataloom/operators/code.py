@@ -183,3 +183,12 @@ def languages(files: DataFrame, path: str = "file_path") -> DataFrame:
 
     g = files.where(source_files(F.col(path))).groupBy("repo_id", X.path_language(F.col(path)).alias("language")).agg(F.count("*").alias("n"))
     return g.withColumn("rank", F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("n"), "language")).cast("bigint"))
+
+
+def parse_stats(sources: DataFrame, found: DataFrame, links: DataFrame) -> DataFrame:
+    """(repo_id, files, parsed, failed, chunks, edges): what parsing the sources of each repository gave."""
+    n = sources.groupBy("repo_id").agg(F.count("source").alias("files"))
+    c = found.groupBy("repo_id").agg(F.countDistinct("file_path").alias("parsed"), F.count("*").alias("chunks"))
+    e = links.groupBy("repo_id").agg(F.count("*").alias("edges"))
+    j = n.join(c, "repo_id", "left").join(e, "repo_id", "left").na.fill(0)
+    return j.select("repo_id", "files", "parsed", (F.col("files") - F.col("parsed")).alias("failed"), "chunks", "edges")

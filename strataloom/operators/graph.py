@@ -169,3 +169,31 @@ def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
     pre = imports.select("import_id", parts.alias("p")).select("import_id", F.posexplode(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice("p", F.lit(1), i), "."))).alias("d", "path"))
     hit = pre.join(modules, "path").groupBy("import_id").agg(F.max_by("module_id", F.struct(F.col("d"), F.col("module_id"))).alias("module_id"), (F.max("d") + 1).cast("bigint").alias("depth"))
     return imports.select("import_id").join(hit, "import_id", "left")
+
+
+def resolve_targets(targets: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(target, repo_id, chunk_id, strategy) of every ``targets(target, repo_id, line)``; nulls where no block fits.
+
+    A target is tried as the id of a block, as the dotted path of an import, and by the file with the name or the
+    kind of its id; the first way that fits counts, and of its blocks the nearest to the line, then the shortest.
+    ``blocks(chunk_id, repo_id, file_path, name, chunk_type, start_line, end_line)``; equi-joins only.
+    """
+    t = targets.select("target", "repo_id", F.coalesce("line", F.lit(0)).alias("line")).distinct()
+    b = blocks.select("chunk_id", "repo_id", "file_path", "name", "chunk_type", "start_line", "end_line")
+    p = t.withColumn("p", X.parse_id(F.col("target")))
+    dotted = F.regexp_replace(F.regexp_replace("file_path", r"(/__init__)?\.[^./]*$", ""), "/", ".")
+    full = F.when(F.col("chunk_type") == "module", dotted).otherwise(F.concat(dotted, F.lit("."), F.col("name")))
+    tries = [
+        t.join(b.drop("repo_id"), F.col("target") == F.col("chunk_id")).withColumn("way", F.lit(0)),
+        t.withColumn("path", F.regexp_extract("target", "^import::(.*)$", 1)).where("path != ''").join(b.withColumn("path", full), ["repo_id", "path"]).withColumn("way", F.lit(1)),
+        p.select("target", "repo_id", "line", F.col("p.file_path").alias("file_path"), F.col("p.name").alias("name")).join(b, ["repo_id", "file_path", "name"]).withColumn("way", F.lit(2)),
+        p.select("target", "repo_id", "line", F.col("p.file_path").alias("file_path"), F.col("p.chunk_type").alias("chunk_type")).join(b, ["repo_id", "file_path", "chunk_type"]).withColumn("way", F.lit(3)),
+    ]
+    cols = ["target", "repo_id", "line", "chunk_id", "start_line", "end_line", "way"]
+    found = tries[0].select(*cols)
+    for x in tries[1:]:
+        found = found.unionByName(x.select(*cols))
+    order = F.struct("way", F.abs(F.col("start_line") - F.col("line")), F.col("end_line") - F.col("start_line"), "start_line", "chunk_id")
+    best = found.groupBy("target", "repo_id", "line").agg(F.min_by(F.struct("chunk_id", "way"), order).alias("x"))
+    names = F.array(*[F.lit(w) for w in ("exact", "import", "name", "kind")])
+    return t.join(best, ["target", "repo_id", "line"], "left").select("target", "repo_id", F.col("x.chunk_id").alias("chunk_id"), F.try_element_at(names, F.col("x.way") + 1).alias("strategy"))

@@ -387,6 +387,12 @@ def code_file_texts(spark: SparkSession, directory: str) -> DataFrame:
     return code.file_texts(code.chunks(sources(spark, directory)))
 
 
+@add("code_parse_stats")
+def code_parse_stats(spark: SparkSession, directory: str) -> DataFrame:
+    s = sources(spark, directory)
+    return code.parse_stats(s, code.chunks(s), code.edges(s))
+
+
 @add("manifest_hash", "WITH f AS (SELECT page_id, version, arg_max(content_hash, id) AS h FROM document_versions GROUP BY ALL) SELECT page_id AS repo_id, sha256(string_agg(coalesce(h, ''), '' ORDER BY version)) AS content_hash, count(*) AS n_files FROM f WHERE page_id IS NOT NULL AND version IS NOT NULL GROUP BY 1")
 def manifest_hash(spark: SparkSession, directory: str) -> DataFrame:
     v = table(spark, directory, "document_versions").where("page_id is not null and version is not null").groupBy("page_id", "version").agg(F.max_by("content_hash", "id").alias("content_hash"))

@@ -50,7 +50,8 @@ def shuffle_width(spark: SparkSession, least: int = 1) -> int:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores; a table in fewer is dealt anew.
 
-    For costly per-row work on tables of few files. A table that already has as many splits stays as it is.
+    For costly per-row work on tables of few files; only for plans without a shuffle, which would run to
+    count its partitions. A table that already has as many splits stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -45,6 +45,8 @@ def test_repository(engine, spark, tmp_path, capsys):
     for i in range(8):
         (src / "pkg" / f"c{i}.py").write_text(f"value_{i} = {i}\n")
     assert engine.add_repository(str(src), "r")["added"] == 10
+    assert engine.add_repository(str(src), "r", commit="c1")["skipped"] == 10
+    assert engine.add_repository(str(src), "r", commit="c1")["skipped"] == 0
     found = engine.search_code(queries(spark, "walk tree"), "r", 5, rerank.parse_scope("path:pkg"))
     assert found.where("id like '%walk_tree'").count() == 1
     assert {r["target"] for r in engine.related(found, "r").collect()} >= {"import::os", "import::os.walk"}

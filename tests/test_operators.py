@@ -169,7 +169,7 @@ def test_memory(spark):
     seen = spark.createDataFrame([(t, i) for t, n in (("A", 1), ("B", 2), ("C", 3)) for i in range(n)], "topic string, ts int")
     assert {r["topic"]: r["weight"] for r in memory.interests(seen, "topic", "ts").collect()} == {"A": 1.0, "B": 1.9, "C": 2.71}
     merge = lambda new, old, n: spark.range(1).select(memory.merged_topics(F.array(*map(F.lit, new)), F.array(*map(F.lit, old)), n).alias("t")).first()["t"]
-    assert merge(["Memory", "rag"], ["RAG", "Python", "LangChain"], 4) == ["Memory", "rag", "Python", "LangChain"]
+    assert merge(["Memory", "rag"], ["RAG", "Python", "Spark"], 4) == ["Memory", "rag", "Python", "Spark"]
     assert merge(["e"], ["a", "b", "c", "d"], 3) == ["e", "a", "b"]
     t = spark.createDataFrame([(1, dt.datetime(2024, 5, 1, 9), ["A", "B"], ["doc1"]), (2, dt.datetime(2024, 5, 1, 10), ["C", "A"], ["doc1"])], "id int, ts timestamp, topics array<string>, docs array<string>")
     (day,) = memory.timeline(t, "ts", ["id"], "topics", "docs").collect()
@@ -231,6 +231,18 @@ def test_graph(spark):
     assert {x["import_id"]: x["module_id"] for x in graph.resolve_imports(i, m).collect()} == {"i1": "m2", "i2": None}
 
 
+def test_resolve_targets(spark):
+    blocks = spark.createDataFrame(
+        [("r::a/b.py::function::f", "r", "a/b.py", "f", "function", 10, 20), ("r::a/b.py::class::C", "r", "a/b.py", "C", "class", 30, 60), ("r::a/b.py::module::<module>", "r", "a/b.py", "<module>", "module", 1, 90)],
+        "chunk_id string, repo_id string, file_path string, name string, chunk_type string, start_line int, end_line int",
+    )
+    wanted = {"r::a/b.py::function::f": "exact", "import::a.b.f": "import", "import::a.b": "import", "r::a/b.py::method::C": "name", "r::a/b.py::class::gone": "kind", "import::os": None, "odd": None}
+    t = spark.createDataFrame([(k, "r", 12) for k in wanted], "target string, repo_id string, line int")
+    got = {r["target"]: (r["chunk_id"], r["strategy"]) for r in graph.resolve_targets(t, blocks).collect()}
+    assert {k: v[1] for k, v in got.items()} == wanted
+    assert got["import::a.b"][0].endswith("<module>") and got["import::a.b.f"][0].endswith("::f")
+
+
 def test_links_and_topics(spark):
     rows = [("c0", "a", [1.0, 0.0]), ("c1", "a", [0.9, 0.1]), ("c2", "b", [1.0, 0.05]), ("c3", "b", [0.0, 1.0])]
     df = spark.createDataFrame(rows, "id string, doc string, v array<double>")

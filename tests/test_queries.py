@@ -26,4 +26,4 @@ def test_query(spark, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["page_id", "root_id", "depth"]
+    assert entry.entry(spark).columns == ["query_id", "doc_id", "score", "rank"]
