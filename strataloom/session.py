@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps now.
+
+    They go when the driver's garbage is collected, which a driver that does little may put off for
+    half an hour. For use between the large steps of an operator, after a cut; it costs a collection.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_width(spark: SparkSession, least: int = 1) -> int:
     """Number of shuffle partitions the session asks for."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
