@@ -60,13 +60,10 @@ def copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = few.groupBy(*group).agg(F.sort_array(F.collect_list("key")).alias("named")).where(F.size("named") > 1)
     info = keys.join(several.join(named, group), group).select("key", "rep", "n", "named")
     own = F.coalesce(F.col("rep") == F.col("key"), F.lit(True))
-    all_of = cut(
-        marked.join(info, "key", "left").select(
-            "key", F.coalesce("rep", "key").alias("rep"), F.coalesce("n", F.lit(1)).alias("n"), F.when(own, F.col("v")).alias("v"),
-            F.when(own, F.coalesce("named", F.array("key"))).alias("named"),
-        )
-    )
-    return all_of.where("v is not null").select("rep", "v", "named", "n"), all_of.where("n > 1").select("key", "rep")
+    # what a single vector's key says already is left null, as this is written
+    all_of = cut(marked.join(info, "key", "left").select("key", "rep", "n", F.when(own, F.col("v")).alias("v"), F.when(own, F.col("named")).alias("named")))
+    reps = all_of.where("v is not null").select(F.col("key").alias("rep"), "v", F.coalesce("named", F.array("key")).alias("named"), F.coalesce("n", F.lit(1)).alias("n"))
+    return reps, all_of.where("n > 1").select("key", "rep")
 
 
 @dataclass
@@ -111,7 +108,6 @@ BLOCK = T.StructType(
     [
         T.StructField("block", T.LongType()),
         T.StructField("side", T.IntegerType()),
-        T.StructField("direction", T.IntegerType()),
         T.StructField("rep", T.StringType()),
         T.StructField("vec", T.BinaryType()),
         T.StructField("caps", T.BinaryType()),
@@ -120,10 +116,11 @@ BLOCK = T.StructType(
 
 
 def blocks(reps: DataFrame, route: Routing, extra: str = "") -> DataFrame:
-    """(block, side, direction, rep, vec, caps, extras): every vector once for each block it joins.
+    """(block, side, rep, vec, caps, extras): every vector once for each block it joins.
 
     ``reps`` has the vectors as arrays ``v`` or as bytes ``vec``.
-    ``vec`` is the vector's bytes, ``caps`` those of its directions. A block of a split direction
+    ``vec`` is the vector's bytes, ``caps`` those of its directions as 16-bit numbers. The upper half of a block's
+    number is its direction. A block of a split direction
     has the two parts as sides 0 and 1; ``extra`` names further columns to carry, with their types.
     """
     shared = reps.sparkSession.sparkContext.broadcast(route)  # at most MOST_DIRECTIONS x size numbers: 2 MB at 64
@@ -137,7 +134,7 @@ def blocks(reps: DataFrame, route: Routing, extra: str = "") -> DataFrame:
                 continue
             x = stack(pdf["vec"], np.float32) if raw_given else np.stack(pdf["v"].to_numpy()).astype(np.float32)
             caps = r.of(unit_rows(x))
-            raw, cap_raw = [b.tobytes() for b in x], [c.tobytes() for c in caps]
+            raw, cap_raw = [b.tobytes() for b in x], [c.tobytes() for c in caps.astype(np.int16)]
             row = np.repeat(np.arange(len(x)), caps.shape[1])
             d = caps.ravel().astype(np.int64)
             g = r.parts[d]
@@ -152,7 +149,6 @@ def blocks(reps: DataFrame, route: Routing, extra: str = "") -> DataFrame:
                 {
                     "block": (d[rep] << 32) | (lo << 16) | hi,
                     "side": (p == hi).astype(np.int32) * (lo != hi),
-                    "direction": d[rep].astype(np.int32),
                     "rep": pdf["rep"].to_numpy()[at],
                     "vec": [raw[i] for i in at],
                     "caps": [cap_raw[i] for i in at],
@@ -165,6 +161,10 @@ def blocks(reps: DataFrame, route: Routing, extra: str = "") -> DataFrame:
     return some.mapInPandas(run, schema)
 
 
+def direction_of(pdf: pd.DataFrame) -> int:
+    return int(pdf["block"].iloc[0]) >> 32
+
+
 def stack(column: pd.Series, kind: type) -> np.ndarray:
     """The rows of a column of bytes as a matrix."""
     return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
