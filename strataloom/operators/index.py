@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strataloom.session import cut
+
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key: the first by ``order``."""
@@ -126,16 +128,21 @@ class Store:
         fs.delete(jpath(old), True)
 
     def sync(self, name: str, incoming: DataFrame, key: str, hash_col: str, prune: bool = False) -> dict[str, int]:
-        """Upsert by content hash; the numbers of each kind of change."""
+        """Upsert by content hash; the numbers of each kind of change. Rows whose hash is known stay as they are."""
         if not self.exists(name):
             self.replace(name, incoming.dropDuplicates([key]))
             return {"added": self.read(name).count(), "modified": 0, "skipped": 0, "deleted": 0}
         old = self.read(name)
-        counts = change_counts(diff(old, incoming, key, hash_col)).first().asDict()
-        if not prune or incoming.isEmpty():
+        changes = cut(diff(old, incoming, key, hash_col).select(key, "change"))
+        counts = change_counts(changes).first().asDict()
+        kept = ["skipped", "deleted"]
+        if prune and not incoming.isEmpty():
+            kept.remove("deleted")
+        else:
             counts["deleted"] = 0
         if counts["added"] or counts["modified"] or counts["deleted"]:
-            self.replace(name, upsert(old, incoming, key, prune=prune))
+            own = lambda df, kinds: df.join(changes.where(F.col("change").isin(kinds)).select(key), key, "left_semi").select(*old.columns)
+            self.replace(name, own(old, kept).unionByName(own(incoming, ["added", "modified"])))
         return counts
 
     def delete(self, name: str, condition: Column) -> int:
