@@ -21,20 +21,19 @@ BLOCK_ITEMS = 200_000  # items a block holds about; only keys and sizes come int
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """(container, offset) of each item, 0 < size <= capacity, in the given order."""
-    count = np.zeros(capacity + 1, np.int64)  # of level 0: always 0, an empty container is new
+    count = np.zeros(capacity + 1, np.int64)  # 0 at level 0, as an empty container is new, and at the capacity
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
     container, offset = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
     n = 0
     for i, s in enumerate(sizes.tolist()):
-        # growth of the sum when a container moves from level h to h + s, halved and without its constant
-        gain = count[s : capacity + 1] - count[: capacity + 1 - s]
-        gain[-1] = -count[capacity - s] - 1 if count[capacity - s] else gain[-1]
-        gain = np.where(count[: capacity + 1 - s] > 0, gain, np.iinfo(np.int64).max)
-        gain[0] = count[s]  # a new container
-        if s == capacity:
-            gain[0] = -1
-        best = int(gain.min())
-        h = int(np.flatnonzero(gain == best)[-1])  # of equal ones the fullest
+        # growth of the sum of squares when a container moves from level h to h + s; full ones don't count
+        level = count[: capacity + 1 - s]
+        grow = np.where(level > 0, 2 * (count[s:] - level) + 2, np.iinfo(np.int64).max)
+        if level[-1]:
+            grow[-1] = 1 - 2 * level[-1]
+        grow[0] = 2 * count[s] + 1 if s < capacity else 0  # a new container
+        best = int(grow.min())
+        h = int(np.flatnonzero(grow == best)[-1])  # of equal ones the fullest
         if h == 0:
             c, n = n, n + 1
         else:
