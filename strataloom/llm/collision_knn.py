@@ -113,7 +113,7 @@ def neighbours(df: DataFrame, key: str, vector: str, size: int, limit: float, k:
     """
     reps, members = V.copies(V.usable(df, key, vector, size))
     route = V.routing(reps, size)
-    laid = V.blocks(reps, route, "named array<string>")
+    laid = V.routed(reps, route, "named array<string>")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # several names of one vector: its copies, all with the same cosine to others
@@ -128,7 +128,7 @@ def neighbours(df: DataFrame, key: str, vector: str, size: int, limit: float, k:
         else:
             owner, other, cos = search(x, x, True, limit, k)
         if not len(owner):
-            return pd.DataFrame({"rep": [], "near": []})
+            return pd.DataFrame({"rep": [], "near": []}, dtype=object)
         names = pdf["rep"].to_numpy(str)
         owner, other, cos = best(owner, other, cos, names, k)
         named = pdf["named"].to_numpy()
@@ -138,7 +138,7 @@ def neighbours(df: DataFrame, key: str, vector: str, size: int, limit: float, k:
         return pd.DataFrame({"rep": names[list(rows)], "near": [sorted(v, key=lambda z: (z["s"], z["other"]))[:k] for v in rows.values()]})
 
     near = "array<struct<s:double,other:string>>"
-    found = laid.groupBy("block").applyInPandas(run, f"rep string, near {near}")
+    found = V.by_turns(laid, route, "named array<string>", lambda b: b.groupBy("block").applyInPandas(run, f"rep string, near {near}"))
     merged = found.groupBy("rep").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
     # every member of a group of copies: its copies first, then the neighbours of the group
     everyone = members.select("key", "rep").unionByName(reps.where("n = 1").select(F.col("rep").alias("key"), "rep"))

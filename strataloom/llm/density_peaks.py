@@ -56,11 +56,11 @@ def _pairs(pdf: pd.DataFrame, limit: float) -> Iterator[tuple[np.ndarray, np.nda
         yield left[i], (left if right is None else right)[j], c
 
 
-def densities(laid: DataFrame, limit: float) -> DataFrame:
-    """(rep, density, vec): weighted number of similar other vectors, at least 1; vectors without any have no row.
+def densities(vectors: DataFrame, route: V.Routing, limit: float) -> DataFrame:
+    """(rep, density, vec, caps): weighted number of similar other vectors, at least 1; vectors without any have no row.
 
     A pair that meets in several blocks counts in the one of the smallest direction it shares. Its
-    vector comes along, so those with neighbours needn't be joined with all again.
+    vector and directions come along, so those with neighbours needn't be joined with all again.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -72,10 +72,13 @@ def densities(laid: DataFrame, limit: float) -> DataFrame:
             i, j = i[first], j[first]
             sums += np.bincount(i, n[j], len(pdf)).astype(np.int64) + np.bincount(j, n[i], len(pdf)).astype(np.int64)
         some = np.flatnonzero(sums)
-        return pdf[["rep", "vec"]].iloc[some].assign(density=sums[some])[["rep", "density", "vec"]]
+        return pdf[["rep", "vec", "caps"]].iloc[some].assign(density=sums[some])[["rep", "density", "vec", "caps"]]
 
-    found = laid.groupBy("block").applyInPandas(run, "rep string, density bigint, vec binary")
-    return found.groupBy("rep").agg(F.sum("density").alias("density"), F.any_value("vec").alias("vec"))
+    def total(found: DataFrame) -> DataFrame:
+        return found.groupBy("rep").agg(F.sum("density").alias("density"), F.any_value("vec").alias("vec"), F.any_value("caps").alias("caps"))
+
+    schema = "rep string, density bigint, vec binary, caps binary"
+    return total(V.by_turns(vectors, route, "n bigint", lambda b: total(b.groupBy("block").applyInPandas(run, schema))))
 
 
 def _hook(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -93,7 +96,7 @@ def _hook(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return parent
 
 
-def pointers(laid: DataFrame, limit: float) -> DataFrame:
+def pointers(vectors: DataFrame, route: V.Routing, limit: float) -> DataFrame:
     """(rep, to, low): the most similar denser vector, null for a peak, and the vectors it is linked to, one a block."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -120,7 +123,8 @@ def pointers(laid: DataFrame, limit: float) -> DataFrame:
             }
         )
 
-    found = laid.groupBy("block").applyInPandas(run, "rep string, cos double, `to` string, low string")
+    schema = "rep string, cos double, `to` string, low string"
+    found = V.by_turns(vectors, route, "density bigint", lambda b: b.groupBy("block").applyInPandas(run, schema))
     best = F.max_by("to", F.when(F.col("to").isNotNull(), F.struct("cos", "to")))
     return found.groupBy("rep").agg(F.collect_set("low").alias("low"), best.alias("to"))
 
@@ -168,9 +172,9 @@ def cluster(df: DataFrame, key: str, vector: str, size: int, limit: float, least
     reps = reps.select("rep", "v", "n")
     route = V.routing(reps, size)
     release(df.sparkSession)
-    dense = cut(densities(V.blocks(reps, route, "n bigint"), limit))
+    dense = cut(densities(V.routed(reps, route, "n bigint"), route, limit))
     release(df.sparkSession)
-    found = cut(pointers(V.blocks(dense, route, "density bigint"), limit))
+    found = cut(pointers(dense, route, limit))
     release(df.sparkSession)
     dense = dense.select("rep", "density")
     label = follow(found.select("rep", "to"))

@@ -2,15 +2,17 @@
 
 A set of random directions makes the blocks: every vector joins the ``caps`` directions it projects
 farthest on. Near vectors share a direction almost surely, random ones rarely, and the number
-of directions follows the number of vectors, so the work of a block stays the same and the work of all grows
-in proportion. A direction that a bounded sample shows to be crowded is split into parts by a hash,
+of directions follows the number of vectors. The more directions there are, the less likely two near vectors
+share one of a fixed few, so ``caps`` grows by one with each doubling of the directions: of pairs at a cosine of
+0.85 at least 98 in 100 meet whatever the size. The blocks are made in turns, so that no more than TURN_CAPS copies
+of a vector lie on disk at once. A direction that a bounded sample shows to be crowded is split into parts by a hash,
 and every pair of its parts makes a block: nothing is left out and no task holds a hot group.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,11 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataloom.session import cut
+from strataloom.session import cut, release
 
-CAPS = 4  # directions a vector joins
-ROWS_PER_DIRECTION = 512
-MOST_DIRECTIONS = 8192
+CAPS = 4  # directions a vector joins where there are at most 64; one more with each doubling
+ROWS_PER_DIRECTION = 128
+MOST_DIRECTIONS = 16_384  # numbers of directions are kept in 16 bits
+TURN_CAPS = 3  # copies of a vector that are in blocks at once
+SCORES = 1 << 22  # projections held at once
 PART_ROWS = 16_384  # rows of one part of a crowded direction
 SAMPLE = 20_000  # vectors on the driver for the loads of directions: about 5 MB at 64 numbers
 COPIES_NAMED = 6  # copies that are carried by name: a vector and five others
@@ -76,16 +80,22 @@ class Routing:
         """The directions each row joins, in ascending order."""
         caps = min(self.caps, len(self.directions))
         out = np.empty((len(unit), caps), np.int32)
-        for a in range(0, len(unit), 2048):
-            s = unit[a : a + 2048] @ self.directions.T
-            out[a : a + 2048] = np.argpartition(-s, caps - 1, axis=1)[:, :caps]
+        rows = max(1, SCORES // len(self.directions))
+        for a in range(0, len(unit), rows):
+            s = unit[a : a + rows] @ self.directions.T
+            out[a : a + rows] = np.argpartition(-s, caps - 1, axis=1)[:, :caps]
         return np.sort(out, axis=1)
 
+    @property
+    def turns(self) -> int:
+        return -(-min(self.caps, len(self.directions)) // TURN_CAPS)
 
-def routing(reps: DataFrame, size: int, caps: int = CAPS, seed: int = 11) -> Routing:
+
+def routing(reps: DataFrame, size: int, seed: int = 11) -> Routing:
     """Directions for so many vectors; the loads come from at most SAMPLE of them."""
     n = reps.count()
     m = int(min(MOST_DIRECTIONS, 2 ** max(2, round(math.log2(max(1, n) / ROWS_PER_DIRECTION)))))
+    caps = max(CAPS, CAPS + round(math.log2(m / 64)))
     rng = np.random.default_rng(seed)
     d = rng.normal(size=(m, size)).astype(np.float32)
     d /= np.linalg.norm(d, axis=1, keepdims=True)
@@ -115,29 +125,43 @@ BLOCK = T.StructType(
 )
 
 
-def blocks(reps: DataFrame, route: Routing, extra: str = "") -> DataFrame:
-    """(block, side, rep, vec, caps, extras): every vector once for each block it joins.
+def routed(reps: DataFrame, route: Routing, extra: str = "") -> DataFrame:
+    """(rep, vec, caps, extras): the vectors ``v`` as bytes with their directions as 16-bit numbers, written once for all turns."""
+    shared = reps.sparkSession.sparkContext.broadcast(route)  # at most MOST_DIRECTIONS x size numbers: 4 MB at 64
+    names = [x.split()[0] for x in extra.split(",") if x.strip()]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = shared.value
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["v"].to_numpy()).astype(np.float32)
+            caps = r.of(unit_rows(x)).astype(np.int16)
+            yield pdf[["rep", *names]].assign(vec=[b.tobytes() for b in x], caps=[c.tobytes() for c in caps])[["rep", "vec", "caps", *names]]
 
-    ``reps`` has the vectors as arrays ``v`` or as bytes ``vec``.
-    ``vec`` is the vector's bytes, ``caps`` those of its directions as 16-bit numbers. The upper half of a block's
+    schema = "rep string, vec binary, caps binary" + (", " + extra if extra else "")
+    return cut(reps.select("rep", "v", *names).mapInPandas(run, schema))
+
+
+def blocks(vectors: DataFrame, route: Routing, extra: str = "", turn: int = 0, turns: int = 1) -> DataFrame:
+    """(block, side, rep, vec, caps, extras): every vector once for each block it joins, of the directions of one turn.
+
+    ``vectors`` has (rep, vec, caps) as of ``routed``. The upper half of a block's
     number is its direction. A block of a split direction
     has the two parts as sides 0 and 1; ``extra`` names further columns to carry, with their types.
     """
-    shared = reps.sparkSession.sparkContext.broadcast(route)  # at most MOST_DIRECTIONS x size numbers: 2 MB at 64
+    shared = vectors.sparkSession.sparkContext.broadcast(route.parts)
     names = [x.split()[0] for x in extra.split(",") if x.strip()]
-    raw_given = "vec" in reps.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = shared.value
+        parts = shared.value
         for pdf in batches:
             if not len(pdf):
                 continue
-            x = stack(pdf["vec"], np.float32) if raw_given else np.stack(pdf["v"].to_numpy()).astype(np.float32)
-            caps = r.of(unit_rows(x))
-            raw, cap_raw = [b.tobytes() for b in x], [c.tobytes() for c in caps.astype(np.int16)]
-            row = np.repeat(np.arange(len(x)), caps.shape[1])
-            d = caps.ravel().astype(np.int64)
-            g = r.parts[d]
+            caps = stack(pdf["caps"], np.int16)
+            row, place = np.nonzero(caps % turns == turn)
+            d = caps[row, place].astype(np.int64)
+            g = parts[d]
             own = pdf["salt"].to_numpy(np.int64)[row] % g
             # a row of part p meets every part q: block (min, max)
             rep = np.repeat(np.arange(len(row)), g)
@@ -149,18 +173,25 @@ def blocks(reps: DataFrame, route: Routing, extra: str = "") -> DataFrame:
                 {
                     "block": (d[rep] << 32) | (lo << 16) | hi,
                     "side": (p == hi).astype(np.int32) * (lo != hi),
-                    "rep": pdf["rep"].to_numpy()[at],
-                    "vec": [raw[i] for i in at],
-                    "caps": [cap_raw[i] for i in at],
-                    **{c: pdf[c].array[at] for c in names},
+                    **{c: pdf[c].array[at] for c in ("rep", "vec", "caps", *names)},
                 }
             )
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BLOCK) + (", " + extra if extra else "")
-    some = reps.select("rep", "vec" if raw_given else "v", F.pmod(F.xxhash64("rep"), F.lit(1 << 16)).alias("salt"), *names)
+    some = vectors.select("rep", "vec", "caps", F.pmod(F.xxhash64("rep"), F.lit(1 << 16)).alias("salt"), *names)
     return some.mapInPandas(run, schema)
 
 
+def by_turns(vectors: DataFrame, route: Routing, extra: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``work`` gives for the blocks of each turn, together; a turn's blocks are let go before the next."""
+    out: DataFrame | None = None
+    for k in range(route.turns):
+        part = cut(work(blocks(vectors, route, extra, k, route.turns)))
+        release(vectors.sparkSession)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def direction_of(pdf: pd.DataFrame) -> int:
     return int(pdf["block"].iloc[0]) >> 32
 

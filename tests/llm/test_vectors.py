@@ -80,6 +80,17 @@ def test_recall_at_the_limit():
     assert (V.first_shared(a, b) < 256).mean() >= 0.9
 
 
+def test_blocks_in_turns(spark, monkeypatch):
+    names, x = data(9, groups=20, each=5, noise=200, cos=0.9)
+    pairs, clusters = brute(names, x)
+    monkeypatch.setattr(V, "ROWS_PER_DIRECTION", 2)
+    df = frame(spark, names, x)
+    assert V.routing(V.copies(V.usable(df, "chunk_uid", "embedding", SIZE))[0], SIZE).turns > 1
+    got = found_pairs(df)
+    assert got <= pairs and len(got) >= 0.97 * len(pairs)
+    assert len(found_clusters(df) & clusters) >= 0.97 * len(clusters)
+
+
 def test_crowded_directions_are_split(spark, monkeypatch):
     names, x = data(2, groups=2, each=60, noise=100)
     pairs, clusters = brute(names, x)
