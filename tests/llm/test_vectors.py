@@ -80,6 +80,36 @@ def test_recall_at_the_limit():
     assert (V.first_shared(a, b) < 256).mean() >= 0.9
 
 
+class Many:
+    """Stands for so many vectors where only their number is asked for."""
+
+    def __init__(self, n):
+        self.n = n
+
+    def count(self):
+        return self.n
+
+    def toPandas(self):
+        return {"v": []}
+
+    def where(self, *_):
+        return self
+
+    select = limit = where
+
+
+@pytest.mark.parametrize("n", [30_000, 300_000, 3_000_000, 40_000_000])
+def test_meeting_at_the_limit_whatever_the_size(spark, n):
+    rng = np.random.default_rng(n)
+    unit = lambda z: z / np.linalg.norm(z, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(1500, SIZE)))
+    z = rng.normal(size=x.shape)
+    y = LIMIT * x + np.sqrt(1 - LIMIT**2) * unit(z - (z * x).sum(1, keepdims=True) * x)
+    r = V.routing(Many(n), SIZE)
+    a, b = r.of(x.astype(np.float32)), r.of(y.astype(np.float32))
+    assert (V.first_shared(a, b) < len(r.directions)).mean() >= 0.98
+
+
 def test_blocks_in_turns(spark, monkeypatch):
     names, x = data(9, groups=20, each=5, noise=200, cos=0.9)
     pairs, clusters = brute(names, x)
