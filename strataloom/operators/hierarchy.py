@@ -1,7 +1,7 @@
 """Parent-child rows to full hierarchies: depth, root, path, subtree size, descendants, cycles.
 
-Method: bottom-up leaf peeling. Every round peels all current leaves and sends their
-subtree sizes to their parents; nodes that no round can peel contain the cycles. A chain of
+Method: bottom-up leaf peeling. Every round peels all current leaves; nothing is sent to their parents, as
+sizes, descendants and paths come from closure; nodes that no round can peel contain the cycles. A chain of
 depth d would need d rounds, so each round also contracts unary chains: a node with
 one live child is taken out and its child is hung to its parent with a longer link.
 Every node notes the anchor it was taken out against and its distance to it. The reverse
