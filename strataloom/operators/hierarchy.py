@@ -1,20 +1,26 @@
 """Parent-child rows to full hierarchies: depth, root, path, subtree size, descendants, cycles.
 
-Method: bottom-up leaf peeling. Every round peels all current leaves; nothing is sent to their parents, as
-sizes, descendants and paths come from closure; nodes that no round can peel contain the cycles. A chain of
-depth d would need d rounds, so each round also contracts unary chains: a node with
-one live child is taken out and its child is hung to its parent with a longer link.
-Every node notes the anchor it was taken out against and its distance to it. The reverse
-peel order then resolves anchors into roots and depths; since anchors always outlive
-their nodes, this is done by doubling along anchors. Both take O(log n) rounds.
+Method: bottom-up leaf peeling. Every round peels all current leaves, which send their subtree sizes to their
+parents. A chain of depth d would need d rounds, so each round also contracts unary chains: a node with
+one live child is taken out and its child is hung to its parent with a longer link, which carries the ids and
+the weight of the nodes it jumps over. The residue no round can peel contains the cycles.
+Every node notes the anchor it was taken out against and, if it was jumped over, the child that goes on. The reverse
+peel order then assigns roots, depths and paths along anchors, and sizes along children; as these always
+outlive their nodes, their lines are no longer than the rounds, and doubling follows them in O(log rounds) joins.
+
+Descendants come as pairs, not as a list with each page: a list at the root would be one row that holds a third of the table.
+Every join meets unique ids, or deals hot ones to several tasks (skew.lookup).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.session import cut
+from strataloom.operators.skew import lookup
+from strataloom.session import cut, shuffle_width
 
 
 def hex_key(col: Column) -> Column:
@@ -31,133 +37,149 @@ def resolve_parents(df: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     keep the smallest non-null parent. Other columns are ignored.
     """
     base = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{parent_col}`").alias("ref")).where("id is not null")
-    key = lambda c: F.coalesce(hex_key(c), F.trim(c, F.lit(" \t\r\n")))
-    base = base.select("id", key(F.col("id")).alias("k"), key(F.col("ref")).alias("rk"))
-    known = base.groupBy("k").agg(F.min("id").alias("target"))
-    return (
-        base.join(known.withColumnRenamed("k", "rk"), "rk", "left")
-        .groupBy("id")
-        .agg(F.min("target").alias("parent"))
-    )
-
-
-def peel(edges: DataFrame, max_rounds: int = 500) -> tuple[DataFrame, DataFrame]:
-    """Contract (id, parent) bottom-up.
-
-    Returns ``links(id, anchor, dist)`` of every node taken out, and ``residue(id, low)``:
-    what remains, roots with low null, and one node per cycle with the smallest id
-    of its cycle in low. A round is one write: children are counted, leaves leave, and of unary nodes those
-    whose hash of the round is below that of their parent and of their child, so no two in a row.
+    key = lambda c: F.nullif(F.coalesce(hex_key(c), F.trim(c, F.lit(" \t\r\n"))), F.lit(""))
+    base = cut(base.select("id", key(F.col("id")).alias("k"), key(F.col("ref")).alias("rk")))
+    known = base.groupBy(F.col("k").alias("rk")).agg(F.min("id").alias("parent"))
+    found = lookup(base.select("id", "rk"), known, "rk", "id").select("id", "parent")
+    return base.select("id", F.lit(None).cast(base.schema["id"].dataType).alias("parent")).unionByName(found).groupBy("id").agg(F.min("parent").alias("parent"))
+
+
+def peel(edges: DataFrame, lists: bool = False, max_rounds: int = 500) -> DataFrame:
+    """A row a node of (id, parent), contracted bottom-up: how and against what it was taken out.
+
+    (id, act, par, anchor, dist, via, low, w, kid, add). ``act`` is leaf or skip, with the link to ``anchor`` of length ``dist`` over the ids
+    ``via``, empty unless ``lists``; or root, or cycle, one node of each, with the smallest id of its cycle in ``low``. ``par`` is the
+    parent given. ``w`` counts the node and all that its leaves sent; of a node that was jumped over, ``add`` plus the subtree
+    size of ``kid`` is its subtree size, else ``add`` is ``w``. A round is one write: children are counted, leaves leave, and of
+    unary nodes those whose hash of the round is below that of their parent and of their child, so no two in a row.
     The round's number is a column, not a constant, so that all rounds run the same compiled code.
     """
-    live = edges.select("id", "parent", F.lit(1).cast("bigint").alias("len"), F.col("id").alias("low"), F.lit(0).alias("k"))
+    kind = edges.schema["id"].dataType
+    none = F.array().cast(f"array<{kind.simpleString()}>")
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    state = edges.select("id", F.col("parent").alias("par"), "parent", one.alias("len"), F.col("id").alias("low"), one.alias("w"), zero.alias("lw"), none.alias("via"), F.lit(0).alias("k"), F.lit("keep").alias("act"))
     rounds: list[DataFrame] = []
     for _ in range(max_rounds):
-        kids = live.where("parent is not null and parent != id").groupBy(F.col("parent").alias("pid")).agg(F.count("*").alias("kids"), F.max("id").alias("kid"))
+        kept = F.col("act") == "keep"
+        up = (
+            state.where("act in ('keep', 'leaf') and parent is not null and parent != id")
+            .groupBy(F.col("parent").alias("pid"))
+            .agg(F.count_if(kept).alias("n"), F.max(F.when(kept, F.struct("id", "lw"))).alias("child"), F.sum(F.when(~kept, F.col("w") + F.col("lw"))).alias("sent"))
+        )
+        live = state.where(kept).drop("act", "kid", "add")
         loop = F.coalesce(F.col("parent") == F.col("id"), F.lit(False))
-        n = F.coalesce("kids", F.lit(0))
-        coin = lambda c: F.xxhash64(F.col(c), F.col("k"))
+        n = F.coalesce("n", F.lit(0))
+        coin = lambda c: F.xxhash64(c, F.col("k"))
         act = (
             F.when(F.col("parent").isNull(), F.when(n == 0, "root").otherwise("keep"))
             .when(loop, F.when(n == 0, "cycle").otherwise("keep"))
             .when(n == 0, "leaf")
-            .when((n == 1) & (coin("id") < coin("parent")) & (coin("id") < coin("kid")), "skip")
+            .when((n == 1) & (coin(F.col("id")) < coin(F.col("parent"))) & (coin(F.col("id")) < coin(F.col("child.id"))), "skip")
             .otherwise("keep")
         )
-        role = live.join(kids, live.id == kids.pid, "left").select(*live.columns, act.alias("act"))
-        skips = role.where("act = 'skip'").select(F.col("id").alias("sid"), F.col("parent").alias("sp"), F.col("len").alias("sl"), F.col("low").alias("slow"))
+        role = live.join(up.hint("merge"), F.col("id") == F.col("pid"), "left").select(
+            *[c for c in live.columns if c != "w"], (F.col("w") + F.coalesce("sent", F.lit(0))).alias("w"), act.alias("act"), F.col("child.id").alias("kid"), F.col("child.lw").alias("klw")
+        )
+        skips = role.where("act = 'skip'").select(F.col("kid").alias("to"), F.col("id").alias("sid"), F.col("parent").alias("sp"), F.col("len").alias("sl"), F.col("low").alias("slow"), F.col("w").alias("sw"), F.col("lw").alias("slw"), F.col("via").alias("svia"))
         # the child of a skipped node is hung to that node's parent
         moved = F.col("sid").isNotNull()
-        done = cut(
-            role.join(skips, role.parent == skips.sid, "left").select(
+        skipped = F.col("act") == "skip"
+        state = cut(
+            role.join(skips.hint("merge"), F.col("id") == F.col("to"), "left").select(
                 "id",
+                "par",
                 F.when(moved, F.col("sp")).otherwise(F.col("parent")).alias("parent"),
                 (F.col("len") + F.coalesce("sl", F.lit(0))).alias("len"),
                 F.when(moved, F.least("low", "slow")).otherwise(F.col("low")).alias("low"),
+                "w",
+                F.when(moved, F.col("lw") + F.col("sw") + F.col("slw")).otherwise(F.col("lw")).alias("lw"),
+                (F.when(moved, F.concat("svia", F.array("sid"), "via")).otherwise(F.col("via")) if lists else F.col("via")).alias("via"),
                 (F.col("k") + 1).alias("k"),
                 "act",
+                F.when(skipped, F.col("kid")).alias("kid"),
+                F.when(skipped, F.col("w") + F.col("klw")).otherwise(F.col("w")).alias("add"),
             )
         )
-        rounds.append(done)
-        live = done.where("act = 'keep'").drop("act")
-        if live.isEmpty():
+        rounds.append(state)
+        if state.where("act = 'keep'").isEmpty():
             break
     else:
         raise RuntimeError(f"{max_rounds} rounds did not contract the hierarchy")
-    every = rounds[0]
-    for x in rounds[1:]:
-        every = every.unionByName(x)
-    links = every.where("act in ('leaf', 'skip')").select("id", F.col("parent").alias("anchor"), F.col("len").alias("dist"))
-    residue = every.where("act in ('root', 'cycle')").select("id", F.when(F.col("act") == "cycle", F.col("low")).alias("low"))
-    return links, residue
+    every = reduce(DataFrame.unionByName, rounds).where("act != 'keep'")
+    out = every.select("id", "act", "par", F.col("parent").alias("anchor"), F.col("len").alias("dist"), "via", "low", "w", "kid", "add")
+    return cut(out.coalesce(shuffle_width(edges.sparkSession)))
+
+
+#: Nodes that can be the anchor of another: all that ever had a child. The many leaves of a tree needn't move.
+HAD_CHILDREN = "act != 'leaf' or w > 1"
 
 
 def roots_and_depths(edges: DataFrame) -> DataFrame:
-    """(id, root_id, depth) of every node of ``edges(id, parent)``.
+    """(id, parent, root_id, depth) of every node of ``edges(id, parent)``.
 
     ``parent`` must be an id of the table or null. Where the line of parents runs into a
     cycle, depth is -1 and root_id the smallest id on that cycle. Roots have depth 0.
     An empty table gives an empty result.
     """
-    links, residue = peel(edges)
-    # an end points to itself with distance 0; doubling the anchors leads every node to its end
-    ptr = residue.select("id", F.col("id").alias("anchor"), F.lit(0).cast("bigint").alias("dist")).unionByName(links)
-    ptr = cut(ptr)
-    ends = cut(residue)
+    nodes = peel(edges)
+    end = F.col("act").isin("root", "cycle")
+    now = nodes.select(
+        "id", "par", "act", "w", F.when(~end, F.col("anchor")).alias("anchor"), F.when(end, F.when(F.col("act") == "cycle", F.col("low")).otherwise(F.col("id"))).alias("root_id"),
+        F.when(F.col("act") == "cycle", -1).when(end, 0).otherwise(F.col("dist")).cast("bigint").alias("depth"),
+    )
     while True:
-        up = ptr.select(F.col("id").alias("anchor"), F.col("anchor").alias("a2"), F.col("dist").alias("d2"))
-        ptr = cut(
-            ptr.join(up, "anchor").select(
-                "id", F.col("a2").alias("anchor"), (F.col("dist") + F.col("d2")).alias("dist"), (F.col("a2") != F.col("anchor")).alias("moved")
-            )
+        done, left = now.where("root_id is not null"), now.where("root_id is null")
+        if left.isEmpty():
+            return done.select("id", F.col("par").alias("parent"), "root_id", "depth")
+        up = now.where(HAD_CHILDREN).select(F.col("id").alias("anchor"), F.col("anchor").alias("a2"), F.col("root_id").alias("r2"), F.col("depth").alias("d2"))
+        further = lookup(left.drop("root_id"), up, "anchor", "id").select(
+            "id", "par", "act", "w", F.col("a2").alias("anchor"), F.col("r2").alias("root_id"), F.when(F.col("d2") < 0, F.col("d2")).otherwise(F.col("depth") + F.col("d2")).alias("depth")
         )
-        if ptr.where("moved").isEmpty():
-            break
-        ptr = ptr.drop("moved")
-    return ptr.join(ends.withColumnRenamed("id", "anchor"), "anchor").select(
-        "id",
-        F.coalesce("low", "anchor").alias("root_id"),
-        F.when(F.col("low").isNotNull(), F.lit(-1)).otherwise(F.col("dist")).cast("bigint").alias("depth"),
-    )
+        now = cut(done.unionByName(further).coalesce(shuffle_width(edges.sparkSession)))
 
 
 def hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "parent_page_id") -> DataFrame:
     """(id, parent, root_id, depth) of every distinct id; see resolve_parents and roots_and_depths."""
-    edges = cut(resolve_parents(df, id_col, parent_col))
-    return roots_and_depths(edges).join(edges, "id").select("id", "parent", "root_id", "depth")
+    return roots_and_depths(resolve_parents(df, id_col, parent_col))
 
 
-def closure(tree: DataFrame) -> DataFrame:
-    """(ancestor, descendant, distance) for every pair on a path, each node with itself at 0.
+def subtree_sizes(nodes: DataFrame) -> DataFrame:
+    """The rows of ``peel`` with ``size``, the nodes below each, itself included, and ``ring``, whether it lies on a cycle.
 
-    ``tree`` is the result of hierarchy. Nodes that run into a cycle have only the
-    pair with themselves. Distances double, so a chain of depth d takes log2(d) rounds.
+    A node that was jumped over adds what its leaves sent to the size of the child that went on, along a line of children
+    no longer than the rounds. Between nodes of a cycle nothing counts: each has the finite trees that hang from it.
     """
-    tree = cut(tree)
-    one = tree.where("depth > 0").select(F.col("parent").alias("ancestor"), F.col("id").alias("descendant"), F.lit(1).cast("bigint").alias("distance"))
-    done = tree.select(F.col("id").alias("ancestor"), F.col("id").alias("descendant"), F.lit(0).cast("bigint").alias("distance"))
-    step = one
-    deepest = tree.agg(F.max("depth")).first()[0] or 0
-    reach = 1
-    while reach <= deepest:
-        step = cut(step)  # pairs at distance exactly `reach`
-        hop = step.select(F.col("ancestor").alias("a2"), F.col("descendant").alias("ancestor"), F.lit(reach).cast("bigint").alias("d2"))
-        more = done.join(hop, "ancestor").select(F.col("a2").alias("ancestor"), "descendant", (F.col("distance") + F.col("d2")).alias("distance"))
-        done = cut(done.unionByName(more))
-        step = step.join(hop, "ancestor").select(F.col("a2").alias("ancestor"), "descendant", (F.col("distance") + F.col("d2")).alias("distance"))
-        reach *= 2
-    return done
-
-
-def paths(tree: DataFrame) -> DataFrame:
-    """(id, path, subtree_size): ids from the root to the node, and the nodes below it, itself included.
-
-    Paths cost the sum of all depths, the size of the result. Subtree sizes combine before
-    the shuffle, so a root above a third of all rows makes no hot task.
+    now = nodes.select("id", "kid", "add", (F.col("act") == "cycle").alias("ring"))
+    jumped = now.where("kid is not null")
+    while not jumped.isEmpty():
+        up = now.select(F.col("id").alias("kid"), F.col("kid").alias("k2"), F.col("add").alias("a2"), F.col("ring").alias("r2"))
+        further = jumped.join(up.hint("merge"), "kid").select("id", F.col("k2").alias("kid"), (F.col("add") + F.col("a2")).alias("add"), F.col("r2").alias("ring"))
+        now = cut(now.where("kid is null").unionByName(further).coalesce(shuffle_width(nodes.sparkSession)))
+        jumped = now.where("kid is not null")
+    known = now.select("id", F.col("add").alias("size"), "ring")
+    return nodes.join(known.hint("merge"), "id").withColumn("size", F.when(F.col("ring"), F.col("w")).otherwise(F.col("size")))
+
+
+def paths(edges: DataFrame) -> DataFrame:
+    """(id, path, subtree_size) of every node of ``edges(id, parent)``: ids from the top to the node, and the nodes below it, itself included.
+
+    The links between nodes of a cycle are left out: such a node is the top of what hangs from it. Paths are put
+    together from the ids that links jumped over, anchor by anchor; they cost the sum of all depths, the size of the result.
     """
-    pairs = closure(tree)
-    size = pairs.groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("subtree_size"))
-    path = pairs.groupBy(F.col("descendant").alias("id")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("o"), "ancestor"))), lambda x: x["ancestor"]).alias("path")
-    )
-    return path.join(size, "id").select("id", "path", "subtree_size")
+    width = shuffle_width(edges.sparkSession)
+    nodes = subtree_sizes(peel(edges, lists=True))
+    top = F.col("ring") | (F.col("act") == "root")
+    now = cut(nodes.select("id", "size", F.when(~top, F.col("anchor")).alias("anchor"), F.when(top, F.array("id")).otherwise(F.concat("via", F.array("id"))).alias("path")))
+    while True:
+        done, left = now.where("anchor is null"), now.where("anchor is not null")
+        if left.isEmpty():
+            return done.select("id", "path", F.col("size").alias("subtree_size"))
+        up = now.where("size > 1").select(F.col("id").alias("anchor"), F.col("anchor").alias("a2"), F.col("path").alias("p2"))
+        further = lookup(left, up, "anchor", "id").select("id", "size", F.col("a2").alias("anchor"), F.concat("p2", "path").alias("path"))
+        now = cut(done.unionByName(further).coalesce(width))
+
+
+def descendants(paths_: DataFrame) -> DataFrame:
+    """(ancestor, descendant, distance) for every pair on a path of ``paths``, each node with itself at 0; nothing moves."""
+    n = F.size("path")
+    return paths_.select(F.col("id").alias("descendant"), n.alias("n"), F.posexplode("path").alias("p", "ancestor")).select("ancestor", "descendant", (F.col("n") - 1 - F.col("p")).cast("bigint").alias("distance"))

@@ -57,13 +57,21 @@ def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     return tree(spark, directory).where("parent is not null").select(F.col("id").alias("page_id"), "root_id", "depth")
 
 
+#: Every page's line of parents up to its top: its root, or the page of a cycle that the line meets.
+LINES_SQL = f"""{PAGES_SQL},
+    below AS (
+        SELECT id, CASE WHEN loop THEN list_slice(seen, 1, list_position(seen, tip)) ELSE seen END AS seen FROM ended
+    )"""
+
+
+def page_paths(spark: SparkSession, directory: str) -> DataFrame:
+    return hierarchy.paths(hierarchy.resolve_parents(pages_in_force(spark, directory, "parent_page_id"), "id", "parent_page_id"))
+
+
 @add(
     "p2_paths",
     f"""
-    WITH RECURSIVE {PAGES_SQL},
-    below AS (
-        SELECT CASE WHEN loop THEN [id] ELSE seen END AS seen, id, steps, loop FROM ended
-    ),
+    WITH RECURSIVE {LINES_SQL},
     sizes AS (
         SELECT u.a AS id, count(*) AS n FROM (SELECT unnest(seen) AS a FROM below) u GROUP BY 1
     )
@@ -72,8 +80,20 @@ def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     """,
 )
 def p2_paths(spark: SparkSession, directory: str) -> DataFrame:
-    """Every page's path from its root and the number of pages below it, itself included."""
-    return hierarchy.paths(tree(spark, directory)).select(F.col("id").alias("page_id"), F.array_join("path", "/").alias("path"), "subtree_size")
+    """Every page's path from its top and the number of pages below it, itself included."""
+    return page_paths(spark, directory).select(F.col("id").alias("page_id"), F.array_join("path", "/").alias("path"), "subtree_size")
+
+
+@add(
+    "p2_descendants",
+    f"""
+    WITH RECURSIVE {LINES_SQL}
+    SELECT seen[i] AS page_id, id AS descendant, CAST(i - 1 AS BIGINT) AS distance FROM (SELECT id, seen, unnest(generate_series(1, len(seen))) AS i FROM below)
+    """,
+)
+def p2_descendants(spark: SparkSession, directory: str) -> DataFrame:
+    """Every page with each page below it and the steps between, itself at 0."""
+    return hierarchy.descendants(page_paths(spark, directory)).withColumnRenamed("ancestor", "page_id")
 
 
 @add("p4_found")

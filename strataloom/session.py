@@ -37,10 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
 
     The files survive the loss of any executor, so an iterative plan neither
-    recomputes its history nor depends on cached blocks.
+    recomputes its history nor depends on cached blocks. The planner's estimate of its size is forgotten too: a
+    join is estimated as the product of its sides, so over some rounds of joins with oneself the
+    number would have millions of digits and fill the driver.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    written = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False), spark)
 
 
 def release(spark: SparkSession) -> None:
