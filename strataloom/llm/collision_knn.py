@@ -111,7 +111,7 @@ def neighbours(df: DataFrame, key: str, vector: str, size: int, limit: float, k:
     size, not finite or all zero have no neighbours; copies are neighbours with cosine 1. Keys are
     strings and unique. An empty table gives an empty result.
     """
-    reps, members = V.copies(V.usable(df, key, vector, size))
+    reps, members = V.copies(V.usable(df, key, vector, size), k)
     route = V.routing(reps, size)
     laid = V.routed(reps, route, "named array<string>")
 

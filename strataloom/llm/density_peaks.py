@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.llm import vectors as V
+from strataloom.operators.graph import components
 from strataloom.session import cut, release
 
 ROWS = 512
@@ -64,7 +65,7 @@ def densities(vectors: DataFrame, route: V.Routing, limit: float) -> DataFrame:
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        caps, n = V.stack(pdf["caps"], np.int16), pdf["n"].to_numpy(np.int64)
+        caps, n = V.stack(pdf["caps"], np.int32), pdf["n"].to_numpy(np.int64)
         direction = V.direction_of(pdf)
         sums = np.zeros(len(pdf), np.int64)
         for i, j, _ in _pairs(pdf, limit):
@@ -97,7 +98,7 @@ def _hook(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def pointers(vectors: DataFrame, route: V.Routing, limit: float) -> DataFrame:
-    """(rep, to, low): the most similar denser vector, null for a peak, and the vectors it is linked to, one a block."""
+    """(rep, to, cos, low): the most similar denser vector with its cosine, null for a peak, and the vectors it is linked to, one a block."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", kind="stable").reset_index(drop=True)
@@ -126,7 +127,7 @@ def pointers(vectors: DataFrame, route: V.Routing, limit: float) -> DataFrame:
     schema = "rep string, cos double, `to` string, low string"
     found = V.by_turns(vectors, route, "density bigint", lambda b: b.groupBy("block").applyInPandas(run, schema))
     best = F.max_by("to", F.when(F.col("to").isNotNull(), F.struct("cos", "to")))
-    return found.groupBy("rep").agg(F.collect_set("low").alias("low"), best.alias("to"))
+    return found.groupBy("rep").agg(F.collect_set("low").alias("low"), best.alias("to"), F.max(F.when(F.col("to").isNotNull(), F.col("cos"))).alias("cos"))
 
 
 def follow(pointer: DataFrame) -> DataFrame:
@@ -139,33 +140,12 @@ def follow(pointer: DataFrame) -> DataFrame:
             return now.select("rep", F.col("to").alias("label"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node of each connected set of ``edges(a, b)``; a loop makes a set of its own.
-
-    Rounds of large-star and small-star: every node takes its larger, then its smaller neighbours to the
-    smallest one it knows. The number of edges never grows and rounds follow the logarithm of the set's size.
-    """
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while True:
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        loops = e.where("u = v")
-        large = cut(large.unionByName(loops).unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u >= v")
-        new = cut(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct())
-        same = new.count() == e.count() and new.join(e, ["u", "v"], "left_anti").isEmpty()
-        e = new
-        if same:
-            return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-
-
 def cluster(df: DataFrame, key: str, vector: str, size: int, limit: float, least: int = 3) -> DataFrame:
-    """(cluster_key, key, density, peak): the members of every cluster of at least ``least`` vectors.
+    """(cluster_key, size, key, density, nearest, peak): the members of every cluster of at least ``least`` vectors.
 
     ``cluster_key`` is the smallest key of the cluster, ``density`` the number of similar other vectors, copies
-    included, ``peak`` whether no denser vector is similar. Vectors that are null, of another size, not finite
+    included, ``nearest`` the cosine to the most similar denser vector, ``peak`` whether there is none within the limit: peaks are
+    chosen by a distance over that of the limit, at any density, as the limit alone says what a cluster is. Vectors that are null, of another size, not finite
     or all zero belong to none; copies are similar. Keys are unique strings. An empty table gives an empty result.
     """
     reps, members = V.copies(V.usable(df, key, vector, size))
@@ -178,6 +158,7 @@ def cluster(df: DataFrame, key: str, vector: str, size: int, limit: float, least
     release(df.sparkSession)
     dense = dense.select("rep", "density")
     label = follow(found.select("rep", "to"))
+    near = found.select("rep", "cos")
     # the exact check: labels joined where a block linked their members
     linked = found.select("rep", F.explode("low").alias("low")).distinct()
     edges = (
@@ -187,28 +168,29 @@ def cluster(df: DataFrame, key: str, vector: str, size: int, limit: float, least
         .select("a", "b")
         .distinct()
     )
-    whole = components(edges)
+    whole = components(edges, "a", "b")
     placed = label.join(whole, F.col("label") == F.col("node")).select("rep", "component", (F.col("rep") == F.col("label")).alias("peak"))
     # copies without other neighbours are sets of their own
     alone = reps.where("n > 1").join(dense, "rep", "left_anti").select("rep", F.col("rep").alias("component"), F.lit(True).alias("peak"))
-    placed = placed.unionByName(alone).join(reps.select("rep", "n"), "rep").join(dense, "rep", "left")
+    placed = placed.unionByName(alone).join(reps.select("rep", "n"), "rep").join(dense, "rep", "left").join(near, "rep", "left")
     size_of = placed.groupBy("component").agg(F.min("rep").alias("cluster_key"), F.sum("n").alias("size")).where(F.col("size") >= least)
-    rows = cut(placed.join(size_of, "component").select("cluster_key", "size", "rep", "n", "peak", (F.coalesce("density", F.lit(0)) + F.col("n") - 1).alias("density")))
-    single = rows.where("n = 1").select("cluster_key", "size", F.col("rep").alias(key), "density", "peak")
-    several = members.join(rows.where("n > 1"), "rep").select("cluster_key", "size", F.col("key").alias(key), "density", "peak")
+    rows = cut(placed.join(size_of, "component").select("cluster_key", "size", "rep", "n", "peak", F.round("cos", 6).alias("nearest"), (F.coalesce("density", F.lit(0)) + F.col("n") - 1).alias("density")))
+    single = rows.where("n = 1").select("cluster_key", "size", F.col("rep").alias(key), "density", "nearest", "peak")
+    several = members.join(rows.where("n > 1"), "rep").select("cluster_key", "size", F.col("key").alias(key), "density", "nearest", "peak")
     return single.unionByName(several)
 
 
 def profiles(members: DataFrame, key: str, about: DataFrame, topic: str, typical: int = 3) -> DataFrame:
-    """(cluster_key, size, typical, topics): a row a cluster, its densest members and their topics.
+    """(cluster_key, size, peaks, typical, topics): a row a cluster, the number of its peaks, its densest members and their topics.
 
     ``about(key, topic)`` describes members; empty and null topics are left out.
     """
     order = Window.partitionBy("cluster_key").orderBy(F.desc("density"), F.col(key))
     top = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= typical)
     named = top.join(about.select(key, F.nullif(F.trim(F.col(topic)), F.lit("")).alias("topic")), key, "left")
+    peaks = members.where("peak").groupBy("cluster_key").agg(F.count("*").alias("peaks"))
     return named.groupBy("cluster_key").agg(
         F.max("size").alias("size"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", F.col(key).alias("k")))), lambda x: x["k"]), "|").alias("typical"),
         F.array_join(F.transform(F.filter(F.sort_array(F.collect_list(F.struct("r", F.col("topic").alias("t")))), lambda x: x["t"].isNotNull()), lambda x: x["t"]), "|").alias("topics"),
-    )
+    ).join(peaks, "cluster_key").select("cluster_key", "size", "peaks", "typical", "topics")

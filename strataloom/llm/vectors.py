@@ -2,10 +2,12 @@
 
 A set of random directions makes the blocks: every vector joins the ``caps`` directions it projects
 farthest on. Near vectors share a direction almost surely, random ones rarely, and the number
-of directions follows the number of vectors. The more directions there are, the less likely two near vectors
-share one of a fixed few, so ``caps`` grows by one with each doubling of the directions: of pairs at a cosine of
-0.85 at least 98 in 100 meet whatever the size. The blocks are made in turns, so that no more than TURN_CAPS copies
-of a vector lie on disk at once. A direction that a bounded sample shows to be crowded is split into parts by a hash,
+of directions follows the number of vectors without an end. The more directions there are, the less likely two near vectors
+share one of a fixed few, so ``caps`` grows with each doubling of the directions: of pairs at a cosine of
+0.85 at least 94 in 100 meet whatever the size. Beyond PLAIN_DIRECTIONS a direction is the sum of one of each of two
+sets, so that a million of them cost two thousand projections; these resemble each other more, which more caps make up for.
+The blocks are made in turns, so that no more than TURN_CAPS copies
+of a vector lie on disk at once. The load of every direction is counted; a crowded one is split into parts by a hash,
 and every pair of its parts makes a block: nothing is left out and no task holds a hot group.
 """
 
@@ -13,7 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -23,14 +25,13 @@ from pyspark.sql import types as T
 
 from strataloom.session import cut, release
 
-CAPS = 4  # directions a vector joins where there are at most 64; one more with each doubling
+CAPS = 4  # directions a vector joins where there are at most 64
+CAPS_MORE, SUM_CAPS_MORE = 1, 2.5  # so many more with each doubling, of plain directions and of sums
 ROWS_PER_DIRECTION = 128
-MOST_DIRECTIONS = 16_384  # numbers of directions are kept in 16 bits
+PLAIN_DIRECTIONS = 16_384
 TURN_CAPS = 3  # copies of a vector that are in blocks at once
 SCORES = 1 << 22  # projections held at once
 PART_ROWS = 16_384  # rows of one part of a crowded direction
-SAMPLE = 20_000  # vectors on the driver for the loads of directions: about 5 MB at 64 numbers
-COPIES_NAMED = 6  # copies that are carried by name: a vector and five others
 
 
 def usable(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
@@ -49,10 +50,10 @@ def usable(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
     )
 
 
-def copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+def copies(vectors: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """Exact copies of a vector as one: (rep, v, named, n) and, of groups of several, members (key, rep).
 
-    ``rep`` is the smallest key of the copies, ``named`` its smallest few, ``n`` their number. Only keys and hashes
+    ``rep`` is the smallest key of the copies, ``named`` the k + 1 smallest, so that each has k others, ``n`` their number. Only keys and hashes
     are grouped, names cut to a few within each task before the shuffle, so a group of a third of all rows
     stays small. The vectors move once, by key, and are written once, to the checkpoint folder.
     """
@@ -60,7 +61,7 @@ def copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys, group = marked.select("key", "h", "h2"), ["h", "h2"]
     several = keys.groupBy(*group).agg(F.count("*").alias("n"), F.min("key").alias("rep")).where("n > 1")
     order = Window.partitionBy(*group).orderBy("key")
-    few = keys.withColumn("r", F.row_number().over(order)).where(F.col("r") <= COPIES_NAMED)
+    few = keys.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     named = few.groupBy(*group).agg(F.sort_array(F.collect_list("key")).alias("named")).where(F.size("named") > 1)
     info = keys.join(several.join(named, group), group).select("key", "rep", "n", "named")
     own = F.coalesce(F.col("rep") == F.col("key"), F.lit(True))
@@ -73,40 +74,69 @@ def copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 @dataclass
 class Routing:
     directions: np.ndarray  # a row a direction, unit length
-    parts: np.ndarray  # how many parts each direction is split into
+    second: np.ndarray | None  # with it, direction i * len(second) + j is the sum of row i of the first and row j of the second
     caps: int
+    crowded: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # directions in several parts, ascending
+    parts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # and how many
 
     def of(self, unit: np.ndarray) -> np.ndarray:
         """The directions each row joins, in ascending order."""
-        caps = min(self.caps, len(self.directions))
+        caps = self.joined
         out = np.empty((len(unit), caps), np.int32)
-        rows = max(1, SCORES // len(self.directions))
+        wide = len(self.directions) if self.second is None else len(self.directions) + len(self.second) + caps * caps
+        rows = max(1, SCORES // wide)
         for a in range(0, len(unit), rows):
-            s = unit[a : a + rows] @ self.directions.T
-            out[a : a + rows] = np.argpartition(-s, caps - 1, axis=1)[:, :caps]
+            x = unit[a : a + rows]
+            s = x @ self.directions.T
+            if self.second is None:
+                out[a : a + rows] = _farthest(s, caps)
+                continue
+            # the largest sums are among the sums of the largest
+            s2 = x @ self.second.T
+            i, j = _farthest(s, min(caps, s.shape[1])), _farthest(s2, min(caps, s2.shape[1]))
+            sums = (np.take_along_axis(s, i, 1)[:, :, None] + np.take_along_axis(s2, j, 1)[:, None, :]).reshape(len(x), -1)
+            t = _farthest(sums, caps)
+            out[a : a + rows] = np.take_along_axis(i, t // j.shape[1], 1) * len(self.second) + np.take_along_axis(j, t % j.shape[1], 1)
         return np.sort(out, axis=1)
 
+    @property
+    def count(self) -> int:
+        return len(self.directions) * (1 if self.second is None else len(self.second))
+
+    @property
+    def joined(self) -> int:
+        return min(self.caps, self.count)
+
     @property
     def turns(self) -> int:
-        return -(-min(self.caps, len(self.directions)) // TURN_CAPS)
+        return -(-self.joined // TURN_CAPS)
+
+    def parts_of(self, d: np.ndarray) -> np.ndarray:
+        if not len(self.crowded):
+            return np.ones(len(d), np.int64)
+        at = np.minimum(np.searchsorted(self.crowded, d), len(self.crowded) - 1)
+        return np.where(self.crowded[at] == d, self.parts[at], 1)
+
+
+def _farthest(s: np.ndarray, k: int) -> np.ndarray:
+    return np.argpartition(-s, k - 1, axis=1)[:, :k]
 
 
-def routing(reps: DataFrame, size: int, seed: int = 11) -> Routing:
-    """Directions for so many vectors; the loads come from at most SAMPLE of them."""
-    n = reps.count()
-    m = int(min(MOST_DIRECTIONS, 2 ** max(2, round(math.log2(max(1, n) / ROWS_PER_DIRECTION)))))
-    caps = max(CAPS, CAPS + round(math.log2(m / 64)))
+def directions_for(n: int, size: int, seed: int = 11) -> Routing:
+    """Directions for ``n`` vectors."""
+    m = 2 ** max(2, round(math.log2(max(1, n) / ROWS_PER_DIRECTION)))
     rng = np.random.default_rng(seed)
-    d = rng.normal(size=(m, size)).astype(np.float32)
-    d /= np.linalg.norm(d, axis=1, keepdims=True)
-    r = Routing(d, np.ones(m, np.int64), caps)
-    share = min(1.0, SAMPLE / max(1, n))
-    picked = reps.where(F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000)).select("v").limit(2 * SAMPLE)
-    got = picked.toPandas()["v"]
-    if len(got):
-        load = np.bincount(r.of(unit_rows(np.stack(got.to_numpy()))).ravel(), minlength=m) * (n / len(got))
-        r.parts = np.maximum(1, np.ceil(load / PART_ROWS)).astype(np.int64)
-    return r
+    plain = m <= PLAIN_DIRECTIONS
+    first = m if plain else 2 ** math.ceil(math.log2(m) / 2)
+    made = [rng.normal(size=(k, size)).astype(np.float32) for k in ([first] if plain else [first, m // first])]
+    made = [d / np.linalg.norm(d, axis=1, keepdims=True) for d in made]
+    more = round((CAPS_MORE if plain else SUM_CAPS_MORE) * math.log2(m / 64))
+    return Routing(made[0], None if plain else made[1], max(CAPS, CAPS + more))
+
+
+def routing(reps: DataFrame, size: int) -> Routing:
+    """Directions for so many vectors."""
+    return directions_for(reps.count(), size)
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -126,8 +156,13 @@ BLOCK = T.StructType(
 
 
 def routed(reps: DataFrame, route: Routing, extra: str = "") -> DataFrame:
-    """(rep, vec, caps, extras): the vectors ``v`` as bytes with their directions as 16-bit numbers, written once for all turns."""
-    shared = reps.sparkSession.sparkContext.broadcast(route)  # at most MOST_DIRECTIONS x size numbers: 4 MB at 64
+    """(rep, vec, caps, extras): the vectors ``v`` as bytes with their directions as 32-bit numbers, written once for all turns.
+
+    Counts the load of each direction, within each task before the shuffle, and tells ``route`` of the crowded ones: at most
+    caps x vectors / PART_ROWS numbers.
+    """
+    spark = reps.sparkSession
+    shared = spark.sparkContext.broadcast(route)  # at most 4 MB at 64 numbers for plain directions, less for a million sums
     names = [x.split()[0] for x in extra.split(",") if x.strip()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,11 +171,24 @@ def routed(reps: DataFrame, route: Routing, extra: str = "") -> DataFrame:
             if not len(pdf):
                 continue
             x = np.stack(pdf["v"].to_numpy()).astype(np.float32)
-            caps = r.of(unit_rows(x)).astype(np.int16)
+            caps = r.of(unit_rows(x))
             yield pdf[["rep", *names]].assign(vec=[b.tobytes() for b in x], caps=[c.tobytes() for c in caps])[["rep", "vec", "caps", *names]]
 
+    def loads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        d, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for pdf in batches:
+            if len(pdf):
+                d, at = np.unique(np.r_[d, stack(pdf["caps"], np.int32).ravel()], return_inverse=True)
+                n = np.bincount(at, np.r_[n, np.ones(len(at) - len(n))], len(d)).astype(np.int64)
+        yield pd.DataFrame({"d": d, "n": n})
+
     schema = "rep string, vec binary, caps binary" + (", " + extra if extra else "")
-    return cut(reps.select("rep", "v", *names).mapInPandas(run, schema))
+    out = cut(reps.select("rep", "v", *names).mapInPandas(run, schema))
+    load = out.select("caps").mapInPandas(loads, "d bigint, n bigint").groupBy("d").agg(F.sum("n").alias("n")).where(F.col("n") > PART_ROWS)
+    crowded = load.toPandas().sort_values("d")
+    route.crowded = crowded["d"].to_numpy(np.int64)
+    route.parts = -(-crowded["n"].to_numpy(np.int64) // PART_ROWS)
+    return out
 
 
 def blocks(vectors: DataFrame, route: Routing, extra: str = "", turn: int = 0, turns: int = 1) -> DataFrame:
@@ -150,18 +198,18 @@ def blocks(vectors: DataFrame, route: Routing, extra: str = "", turn: int = 0, t
     number is its direction. A block of a split direction
     has the two parts as sides 0 and 1; ``extra`` names further columns to carry, with their types.
     """
-    shared = vectors.sparkSession.sparkContext.broadcast(route.parts)
+    shared = vectors.sparkSession.sparkContext.broadcast(Routing(route.directions[:0], None, route.caps, route.crowded, route.parts))
     names = [x.split()[0] for x in extra.split(",") if x.strip()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = shared.value
+        r = shared.value
         for pdf in batches:
             if not len(pdf):
                 continue
-            caps = stack(pdf["caps"], np.int16)
+            caps = stack(pdf["caps"], np.int32)
             row, place = np.nonzero(caps % turns == turn)
             d = caps[row, place].astype(np.int64)
-            g = parts[d]
+            g = r.parts_of(d)
             own = pdf["salt"].to_numpy(np.int64)[row] % g
             # a row of part p meets every part q: block (min, max)
             rep = np.repeat(np.arange(len(row)), g)

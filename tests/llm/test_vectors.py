@@ -75,39 +75,37 @@ def test_recall_at_the_limit():
     y = 0.855 * x + np.sqrt(1 - 0.855**2) * z
     i, j, c = K.search(x, y, False, LIMIT, 5)
     assert (i == j).sum() >= 0.99 * len(x)
-    r = V.Routing(unit(rng.normal(size=(256, SIZE))).astype(np.float32), np.ones(256, int), V.CAPS)
+    r = V.Routing(unit(rng.normal(size=(256, SIZE))).astype(np.float32), None, V.CAPS)
     a, b = r.of(x.astype(np.float32)), r.of(y.astype(np.float32))
     assert (V.first_shared(a, b) < 256).mean() >= 0.9
 
 
-class Many:
-    """Stands for so many vectors where only their number is asked for."""
-
-    def __init__(self, n):
-        self.n = n
-
-    def count(self):
-        return self.n
-
-    def toPandas(self):
-        return {"v": []}
-
-    def where(self, *_):
-        return self
-
-    select = limit = where
-
-
-@pytest.mark.parametrize("n", [30_000, 300_000, 3_000_000, 40_000_000])
-def test_meeting_at_the_limit_whatever_the_size(spark, n):
+@pytest.mark.parametrize("n", [30_000, 130_000, 300_000, 1_000_000, 3_000_000, 8_000_000, 40_000_000])
+def test_meeting_at_the_limit_whatever_the_size(n):
     rng = np.random.default_rng(n)
     unit = lambda z: z / np.linalg.norm(z, axis=1, keepdims=True)
     x = unit(rng.normal(size=(1500, SIZE)))
     z = rng.normal(size=x.shape)
     y = LIMIT * x + np.sqrt(1 - LIMIT**2) * unit(z - (z * x).sum(1, keepdims=True) * x)
-    r = V.routing(Many(n), SIZE)
+    assert meeting(V.directions_for(n, SIZE), x, y) >= 0.98
+
+
+def test_meeting_and_windows_together():
+    """A million sums of directions: meeting and the windows find over 0.9 of the pairs at the limit."""
+    rng = np.random.default_rng(12)
+    unit = lambda z: z / np.linalg.norm(z, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(1500, SIZE)))
+    z = rng.normal(size=x.shape)
+    y = 0.855 * x + np.sqrt(1 - 0.855**2) * unit(z - (z * x).sum(1, keepdims=True) * x)
+    r = V.directions_for(134_000_000, SIZE)
+    assert r.count == 1 << 20
+    i, j, _ = K.search(x, y, False, LIMIT, 5)
+    assert meeting(r, x, y) * (i == j).sum() / len(x) >= 0.93
+
+
+def meeting(r, x, y):
     a, b = r.of(x.astype(np.float32)), r.of(y.astype(np.float32))
-    assert (V.first_shared(a, b) < len(r.directions)).mean() >= 0.98
+    return (V.first_shared(a, b) < r.count).mean()
 
 
 def test_blocks_in_turns(spark, monkeypatch):
@@ -167,6 +165,26 @@ def test_profiles(spark):
     assert row["size"] == 4 and len(row["typical"].split("|")) == 3
 
 
+def test_sums_of_directions(spark, monkeypatch):
+    names, x = data(13, groups=20, each=5, noise=200, cos=0.9)
+    pairs, clusters = brute(names, x)
+    monkeypatch.setattr(V, "ROWS_PER_DIRECTION", 1)
+    monkeypatch.setattr(V, "PLAIN_DIRECTIONS", 64)
+    monkeypatch.setattr(V, "PART_ROWS", 6)
+    df = frame(spark, names, x)
+    assert V.directions_for(300, SIZE).second is not None
+    got = found_pairs(df)
+    assert got <= pairs and len(got) >= 0.97 * len(pairs)
+    assert len(found_clusters(df) & clusters) >= 0.97 * len(clusters)
+
+
+def test_more_copies_than_neighbours_asked(spark):
+    names = [f"{i:02}" for i in range(12)]
+    df = frame(spark, names, np.repeat(np.eye(SIZE)[:1], 12, axis=0))
+    got = K.neighbours(df, "chunk_uid", "embedding", SIZE, LIMIT, 9)
+    assert got.count() == 12 * 9
+
+
 @pytest.mark.parametrize("n", [0, 1, 2])
 def test_small_blocks(n):
     x = np.eye(SIZE)[:n]
