@@ -22,6 +22,7 @@ from strataloom.operators.graph import components
 from strataloom.session import cut, release
 
 ROWS = 512
+ROWS_PER_DIRECTION = 1024  # comparing a pair is one product of matrices
 
 
 def _similar(x: np.ndarray, y: np.ndarray | None, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -64,8 +65,10 @@ def densities(vectors: DataFrame, route: V.Routing, limit: float) -> DataFrame:
     vector and directions come along, so those with neighbours needn't be joined with all again.
     """
 
+    kind = route.kind
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        caps, n = V.stack(pdf["caps"], np.int32), pdf["n"].to_numpy(np.int64)
+        caps, n = V.stack(pdf["caps"], kind), pdf["n"].to_numpy(np.int64)
         direction = V.direction_of(pdf)
         sums = np.zeros(len(pdf), np.int64)
         for i, j, _ in _pairs(pdf, limit):
@@ -150,7 +153,7 @@ def cluster(df: DataFrame, key: str, vector: str, size: int, limit: float, least
     """
     reps, members = V.copies(V.usable(df, key, vector, size))
     reps = reps.select("rep", "v", "n")
-    route = V.routing(reps, size)
+    route = V.routing(reps, size, ROWS_PER_DIRECTION)
     release(df.sparkSession)
     dense = cut(densities(V.routed(reps, route, "n bigint"), route, limit))
     release(df.sparkSession)

@@ -27,7 +27,7 @@ from strataloom.session import cut, release
 
 CAPS = 4  # directions a vector joins where there are at most 64
 CAPS_MORE, SUM_CAPS_MORE = 1, 2.5  # so many more with each doubling, of plain directions and of sums
-ROWS_PER_DIRECTION = 128
+ROWS_PER_DIRECTION = 512  # the more, the fewer copies move and the more pairs a block compares
 PLAIN_DIRECTIONS = 16_384
 TURN_CAPS = 3  # copies of a vector that are in blocks at once
 SCORES = 1 << 22  # projections held at once
@@ -103,6 +103,11 @@ class Routing:
     def count(self) -> int:
         return len(self.directions) * (1 if self.second is None else len(self.second))
 
+    @property
+    def kind(self) -> type:
+        """Of the numbers of directions."""
+        return np.int16 if self.count <= 1 << 15 else np.int32
+
     @property
     def joined(self) -> int:
         return min(self.caps, self.count)
@@ -122,9 +127,9 @@ def _farthest(s: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-s, k - 1, axis=1)[:, :k]
 
 
-def directions_for(n: int, size: int, seed: int = 11) -> Routing:
-    """Directions for ``n`` vectors."""
-    m = 2 ** max(2, round(math.log2(max(1, n) / ROWS_PER_DIRECTION)))
+def directions_for(n: int, size: int, rows: int | None = None, seed: int = 11) -> Routing:
+    """Directions for ``n`` vectors, one for so many ``rows``."""
+    m = 2 ** max(2, round(math.log2(max(1, n) / (rows or ROWS_PER_DIRECTION))))
     rng = np.random.default_rng(seed)
     plain = m <= PLAIN_DIRECTIONS
     first = m if plain else 2 ** math.ceil(math.log2(m) / 2)
@@ -134,9 +139,9 @@ def directions_for(n: int, size: int, seed: int = 11) -> Routing:
     return Routing(made[0], None if plain else made[1], max(CAPS, CAPS + more))
 
 
-def routing(reps: DataFrame, size: int) -> Routing:
+def routing(reps: DataFrame, size: int, rows: int | None = None) -> Routing:
     """Directions for so many vectors."""
-    return directions_for(reps.count(), size)
+    return directions_for(reps.count(), size, rows)
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -156,7 +161,7 @@ BLOCK = T.StructType(
 
 
 def routed(reps: DataFrame, route: Routing, extra: str = "") -> DataFrame:
-    """(rep, vec, caps, extras): the vectors ``v`` as bytes with their directions as 32-bit numbers, written once for all turns.
+    """(rep, vec, caps, extras): the vectors ``v`` as bytes with the numbers of their directions, written once for all turns.
 
     Counts the load of each direction, within each task before the shuffle, and tells ``route`` of the crowded ones: at most
     caps x vectors / PART_ROWS numbers.
@@ -171,14 +176,14 @@ def routed(reps: DataFrame, route: Routing, extra: str = "") -> DataFrame:
             if not len(pdf):
                 continue
             x = np.stack(pdf["v"].to_numpy()).astype(np.float32)
-            caps = r.of(unit_rows(x))
+            caps = r.of(unit_rows(x)).astype(r.kind)
             yield pdf[["rep", *names]].assign(vec=[b.tobytes() for b in x], caps=[c.tobytes() for c in caps])[["rep", "vec", "caps", *names]]
 
     def loads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        r, d, n = shared.value, np.zeros(0, np.int64), np.zeros(0, np.int64)
         for pdf in batches:
             if len(pdf):
-                d, at = np.unique(np.r_[d, stack(pdf["caps"], np.int32).ravel()], return_inverse=True)
+                d, at = np.unique(np.r_[d, stack(pdf["caps"], r.kind).ravel()], return_inverse=True)
                 n = np.bincount(at, np.r_[n, np.ones(len(at) - len(n))], len(d)).astype(np.int64)
         yield pd.DataFrame({"d": d, "n": n})
 
@@ -199,14 +204,14 @@ def blocks(vectors: DataFrame, route: Routing, extra: str = "", turn: int = 0, t
     has the two parts as sides 0 and 1; ``extra`` names further columns to carry, with their types.
     """
     shared = vectors.sparkSession.sparkContext.broadcast(Routing(route.directions[:0], None, route.caps, route.crowded, route.parts))
-    names = [x.split()[0] for x in extra.split(",") if x.strip()]
+    names, kind = [x.split()[0] for x in extra.split(",") if x.strip()], route.kind
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = shared.value
         for pdf in batches:
             if not len(pdf):
                 continue
-            caps = stack(pdf["caps"], np.int32)
+            caps = stack(pdf["caps"], kind)
             row, place = np.nonzero(caps % turns == turn)
             d = caps[row, place].astype(np.int64)
             g = r.parts_of(d)

@@ -88,6 +88,7 @@ def test_meeting_at_the_limit_whatever_the_size(n):
     z = rng.normal(size=x.shape)
     y = LIMIT * x + np.sqrt(1 - LIMIT**2) * unit(z - (z * x).sum(1, keepdims=True) * x)
     assert meeting(V.directions_for(n, SIZE), x, y) >= 0.98
+    assert meeting(V.directions_for(n, SIZE, 128), x, y) >= 0.98
 
 
 def test_meeting_and_windows_together():
@@ -97,7 +98,7 @@ def test_meeting_and_windows_together():
     x = unit(rng.normal(size=(1500, SIZE)))
     z = rng.normal(size=x.shape)
     y = 0.855 * x + np.sqrt(1 - 0.855**2) * unit(z - (z * x).sum(1, keepdims=True) * x)
-    r = V.directions_for(134_000_000, SIZE)
+    r = V.directions_for(134_000_000, SIZE, 128)
     assert r.count == 1 << 20
     i, j, _ = K.search(x, y, False, LIMIT, 5)
     assert meeting(r, x, y) * (i == j).sum() / len(x) >= 0.93
@@ -112,6 +113,7 @@ def test_blocks_in_turns(spark, monkeypatch):
     names, x = data(9, groups=20, each=5, noise=200, cos=0.9)
     pairs, clusters = brute(names, x)
     monkeypatch.setattr(V, "ROWS_PER_DIRECTION", 2)
+    monkeypatch.setattr(D, "ROWS_PER_DIRECTION", 2)
     df = frame(spark, names, x)
     assert V.routing(V.copies(V.usable(df, "chunk_uid", "embedding", SIZE))[0], SIZE).turns > 1
     got = found_pairs(df)
@@ -169,6 +171,7 @@ def test_sums_of_directions(spark, monkeypatch):
     names, x = data(13, groups=20, each=5, noise=200, cos=0.9)
     pairs, clusters = brute(names, x)
     monkeypatch.setattr(V, "ROWS_PER_DIRECTION", 1)
+    monkeypatch.setattr(D, "ROWS_PER_DIRECTION", 1)
     monkeypatch.setattr(V, "PLAIN_DIRECTIONS", 64)
     monkeypatch.setattr(V, "PART_ROWS", 6)
     df = frame(spark, names, x)
