@@ -45,17 +45,22 @@ def anchors(rows: DataFrame, source: str, repo: str, path: str, kind: str, name:
 
 
 def nearby(blocks: DataFrame, key: str, group: Sequence[str], line: str, k: int = 3, queries: DataFrame | None = None) -> DataFrame:
-    """(key, other, distance, rank): the k blocks of the same file that start nearest.
+    """(key, other, distance, rank): the k blocks of the same file that start nearest, ties to the smaller key. Keys are unique.
 
-    Only the k blocks before and the k after can be among them, so windows find them without a self-join.
+    Windows find them without a self-join: of the k rows after, and of the k before in an order where the smaller
+    keys of one line come last, everything nearer, or as near with a smaller key, is among them; of the query's own line the first k + 1 rows.
     """
-    w = Window.partitionBy(*group).orderBy(line, key)
-    places = F.array(*[F.struct(f(key, i).over(w).alias("other"), f(line, i).over(w).alias("l")) for i in range(1, k + 1) for f in (F.lag, F.lead)])
-    rows = blocks.select(key, line, places.alias("near"))
+    up, down = Window.partitionBy(*group).orderBy(line, key), Window.partitionBy(*group).orderBy(F.col(line), F.desc(key))
+    at = lambda f, i, w: F.struct(f(key, i).over(w).alias("other"), f(line, i).over(w).alias("l"))
+    own = Window.partitionBy(*group, line).orderBy(key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    same = [F.struct(F.nth_value(key, i).over(own).alias("other"), F.col(line).alias("l")) for i in range(1, k + 2)]
+    rows = blocks.select(key, line, *group)
+    places = F.array(*[at(F.lead, i, up) for i in range(1, k + 1)], *[at(F.lag, i, down) for i in range(1, k + 1)], *same)
+    rows = rows.select(key, line, places.alias("near"))
     if queries is not None:
         rows = rows.join(queries.select(key), key, "left_semi")
     d = F.abs(F.col("x.l") - F.col(line))
-    long = rows.select(key, line, F.explode("near").alias("x")).where("x.other is not null").select(key, F.col("x.other").alias("other"), d.cast("bigint").alias("distance"))
+    long = rows.select(key, line, F.explode(F.array_distinct("near")).alias("x")).where(F.col("x.other").isNotNull() & (F.col("x.other") != F.col(key))).select(key, F.col("x.other").alias("other"), d.cast("bigint").alias("distance"))
     r = Window.partitionBy(key).orderBy("distance", "other")
     return long.withColumn("rank", F.row_number().over(r).cast("bigint")).where(F.col("rank") <= k)
 

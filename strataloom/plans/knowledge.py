@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from strataloom.functions import text as X
 from strataloom.operators import chunking, code, evaluate, graph, history, knn, memory
 from strataloom.operators import knowledge as kn
 from strataloom.plans.catalog import Catalog
+from strataloom.session import checkpoint_dir
 from strataloom.sources.tables import chunks_in_force, in_force, table
 from strataloom.streaming import state
 
@@ -131,15 +134,14 @@ def edge_counts(spark: SparkSession, directory: str) -> DataFrame:
 
 @add(
     "nearby_blocks",
-    """WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS key, l_suppkey, CAST(l_partkey AS BIGINT) AS line FROM lineitem),
-    j AS (SELECT a.key, c.key AS other, abs(a.line - c.line) AS distance FROM b a JOIN b c ON a.l_suppkey = c.l_suppkey AND a.key != c.key WHERE a.key % 100 = 1)
-    SELECT key, min(distance) AS nearest, CAST(sum(distance) AS BIGINT) AS total FROM (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY key ORDER BY distance, other) <= 3) GROUP BY key""",
+    """WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS key, min(l_suppkey) AS l_suppkey, CAST(min(l_partkey) AS BIGINT) AS line FROM lineitem GROUP BY 1),
+    j AS (SELECT a.key, c.key AS other, abs(a.line - c.line) AS distance FROM b a JOIN b c ON a.l_suppkey = c.l_suppkey AND a.key != c.key)
+    SELECT key, other, distance, row_number() OVER (PARTITION BY key ORDER BY distance, other) AS rank FROM j QUALIFY rank <= 3""",
 )
 def nearby_blocks(spark: SparkSession, directory: str) -> DataFrame:
-    """Of the first lines of every tenth order, distances of the three parts nearest by number with the same supplier."""
-    b = table(spark, directory, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), "l_suppkey", F.col("l_partkey").cast("bigint").alias("line"))
-    near = graph.nearby(b, "key", ["l_suppkey"], "line", 3, b.where("key % 100 = 1"))
-    return near.groupBy("key").agg(F.min("distance").alias("nearest"), F.sum("distance").alias("total"))
+    """Of every line, the three parts nearest by number with the same supplier."""
+    b = table(spark, directory, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key")).agg(F.min("l_suppkey").alias("l_suppkey"), F.min("l_partkey").cast("bigint").alias("line"))
+    return graph.nearby(b, "key", ["l_suppkey"], "line", 3)
 
 
 @add("connected_components", """WITH RECURSIVE e AS (SELECT DISTINCT page_id AS a, workspace_id AS b FROM chunks WHERE page_id IS NOT NULL AND workspace_id IS NOT NULL),
@@ -415,14 +417,14 @@ def events_stream(spark: SparkSession, directory: str) -> DataFrame:
 def stream_interests(spark: SparkSession, directory: str) -> DataFrame:
     """The interest state of every event type after the whole stream."""
     s = state.interest_stream(events_stream(spark, directory), "event_type", "ts")
-    out = state.collected(s, f"interests_{abs(hash(directory))}_{len(spark.streams.active)}")
+    out = state.collected(s, f"{checkpoint_dir(spark)}/interests-{uuid.uuid4()}")
     return out.groupBy("event_type").agg(F.max("n").alias("n"), F.max_by("weight", "n").alias("weight")).withColumnRenamed("event_type", "topic")
 
 
 @add("stream_timeline", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS n FROM events GROUP BY 1")
 def stream_timeline(spark: SparkSession, directory: str) -> DataFrame:
     s = state.timeline_stream(events_stream(spark, directory), "ts")
-    out = state.collected(s, f"timeline_{abs(hash(directory))}_{len(spark.streams.active)}")
+    out = state.collected(s, f"{checkpoint_dir(spark)}/timeline-{uuid.uuid4()}")
     return out.groupBy(F.col("date").cast("string").alias("date")).agg(F.max("n").alias("n"))
 
 

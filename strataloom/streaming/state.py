@@ -33,11 +33,10 @@ def interest_stream(seen: DataFrame, topic: str, time: str) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, weight = state.get if state.exists else (0, 0.0)
-        for pdf in batches:
-            for _ in range(len(pdf)):
-                n += 1
-                if n <= 400:  # the fixed point lies well before
-                    weight = _round(weight * 0.9 + 1)
+        before = n
+        n += sum(map(len, batches))
+        for _ in range(before, min(n, 400)):  # the fixed point lies well before
+            weight = _round(weight * 0.9 + 1)
         state.update((n, weight))
         yield pd.DataFrame({topic: [key[0]], "n": [n], "weight": [weight]})
 
@@ -113,8 +112,12 @@ def fan_out(turns: DataFrame, checkpoint: str, **sinks: Callable[[DataFrame, int
     return turns.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def collected(stream: DataFrame, name: str, mode: str = "update") -> DataFrame:
-    """All rows a stream gives until its input is used up, as a table in memory; for tests and small inputs."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def collected(stream: DataFrame, folder: str, mode: str = "update") -> DataFrame:
+    """All rows a stream gives until its input is used up, from Parquet files: a folder a micro-batch, written again if it is replayed."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")

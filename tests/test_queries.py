@@ -8,7 +8,7 @@ from compare import oracle, rows
 import __spark_entry__ as entry
 
 DATA = os.environ.get("STRATALOOM_TESTDATA", "/root/testdata/sf0.001")
-LLM = {n for c in entry._CATALOGS[3:] for n in c.queries}
+LLM = {n for c in entry._CATALOGS[4:] for n in c.queries}
 NAMES = sorted(set(entry.queries()) - LLM)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
