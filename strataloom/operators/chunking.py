@@ -88,18 +88,20 @@ def markdown_sections(df: DataFrame, key: str, text: str) -> DataFrame:
     )
     start = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("level"), F.lit("").alias("title")))
     rows = df.where(F.col(text).isNotNull()).select(key, lines.alias("l")).withColumn("h", F.concat(start, heads))
-    rows = rows.select(key, "l", "h", F.posexplode("h").alias("n", "x"))
-    end = F.coalesce(F.try_element_at(F.col("h")["at"], F.col("n") + 2), F.size("l"))
-    body = F.trim(F.array_join(F.slice("l", F.col("x.at") + 2, F.greatest(F.lit(0), end - F.col("x.at") - 1)), "\n"), F.lit(" \t\n"))
-    above = F.aggregate(
-        F.reverse(F.slice("h", F.lit(1), F.col("n"))),
-        F.struct(F.col("x.level").alias("level"), F.array().cast("array<string>").alias("t")),
-        lambda a, y: F.when((y["level"] < a["level"]) & (y["level"] > 0), F.struct(y["level"].alias("level"), F.concat(F.array(y["title"]), a["t"]).alias("t"))).otherwise(a),
-    )["t"]
-    out = rows.select(
-        key, F.col("n").cast("bigint").alias("sec_no"), F.col("x.level").alias("level"), F.col("x.title").alias("heading"),
-        F.array_join(F.when(F.col("x.level") > 0, F.concat(above, F.array("x.title"))).otherwise(F.array().cast("array<string>")), " > ").alias("hierarchy"), body.alias("content"),
-    )
+
+    def section(x: Column, n: Column) -> Column:
+        end = F.coalesce(F.try_element_at(F.col("h")["at"], n + 2), F.size("l"))
+        body = F.trim(F.array_join(F.slice("l", x["at"] + 2, F.greatest(F.lit(0), end - x["at"] - 1)), "\n"), F.lit(" \t\n"))
+        above = F.aggregate(
+            F.reverse(F.slice("h", F.lit(1), n)),
+            F.struct(x["level"].alias("level"), F.array().cast("array<string>").alias("t")),
+            lambda a, y: F.when((y["level"] < a["level"]) & (y["level"] > 0), F.struct(y["level"].alias("level"), F.concat(F.array(y["title"]), a["t"]).alias("t"))).otherwise(a),
+        )["t"]
+        path = F.array_join(F.when(x["level"] > 0, F.concat(above, F.array(x["title"]))).otherwise(F.array().cast("array<string>")), " > ")
+        return F.struct(x["level"].alias("level"), x["title"].alias("heading"), path.alias("hierarchy"), body.alias("content"))
+
+    # parts are cut before they become rows, so that no row carries the whole text
+    out = rows.select(key, F.posexplode(F.transform("h", section)).alias("n", "s")).select(key, F.col("n").cast("bigint").alias("sec_no"), "s.*")
     return out.where("content != '' or level > 0")
 
 

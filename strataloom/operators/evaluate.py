@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,5 +56,33 @@ def last_samples(df: DataFrame, group: str, order: Column, n: int = 300) -> Data
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
 
 
+def by_mode(modes: dict[str, Callable[[], DataFrame]], labels: DataFrame, k: int = 5, query: str = "query_id", key: str = "key") -> DataFrame:
+    """(mode, query, recall, mrr, ndcg) of every way to search, its lists cut to k; one that can't be planned counts as finding nothing."""
+    out = None
+    for name, find in modes.items():
+        try:
+            ranked = find().where(F.col("rank") <= k).select(query, key, "rank")
+        except Exception:  # noqa: BLE001  one mode's failure is not the others'
+            ranked = labels.select(query, key, F.lit(1).alias("rank")).limit(0)
+        part = metrics(ranked, labels, k, query, key).select(F.lit(name).alias("mode"), query, "recall", "mrr", "ndcg")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def overlap_rate(overlaps: Column, total: Column) -> Column:
-    return F.when(total > 0, F.round(overlaps / total, 4)).otherwise(0.0)
+    """Hidden nodes over visible ones, from 0 to 1; 0 without any."""
+    return F.when(total > 0, F.greatest(F.lit(0), F.least(overlaps, total)) / total).otherwise(0.0)
+
+
+#: The parts of the share of hidden nodes by layout and by relations, and its bounds.
+LAYOUT_PART = {"cose": 0.045, "breadthfirst": 0.015}
+OTHER_LAYOUT, RELATIONS_PART, PLAIN_PART = 0.03, 0.06, 0.015
+NODES_AT_ONCE, FREE_DENSITY, DENSITY_STEP, EDGE_STEP, MOST_HIDDEN = 85.0, 0.35, 0.14, 0.08, 0.45
+
+
+def readability(nodes: Column, edges: Column, layout: Column, relations: Column) -> Column:
+    """(readable, hidden): an estimate of the nodes that can be read in a drawn graph."""
+    part = F.when(layout == "cose", LAYOUT_PART["cose"]).when(layout == "breadthfirst", LAYOUT_PART["breadthfirst"]).otherwise(OTHER_LAYOUT)
+    crowd = F.greatest(F.lit(0.0), (nodes / NODES_AT_ONCE - FREE_DENSITY) * DENSITY_STEP + edges / F.greatest(F.lit(1.0), nodes * 2.0) * EDGE_STEP + part + F.when(relations, RELATIONS_PART).otherwise(PLAIN_PART))
+    hidden = F.when(nodes > 0, F.bround(nodes * F.least(F.lit(MOST_HIDDEN), crowd))).otherwise(0).cast("bigint")
+    return F.struct((F.greatest(nodes, F.lit(0)) - hidden).cast("bigint").alias("readable"), hidden.alias("hidden"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import difflib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,3 +64,24 @@ def commit_records(commits: DataFrame, affected: DataFrame, summary: str | None
             "content_hash": F.sha2(F.coalesce(said, F.col("message")), 256),
         }
     )
+
+
+def unified_diffs(df: DataFrame, key: str, path: str, before: str, after: str) -> DataFrame:
+    """(key, diff): the unified diff of every file's contents, Arrow batches at a time; a null content is a file that isn't there, equal ones give an empty diff."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def one(name: str, old: str | None, new: str | None) -> str:
+        names = ("/dev/null" if old is None else f"a/{name}", "/dev/null" if new is None else f"b/{name}")
+        return "\n".join(difflib.unified_diff((old or "").splitlines(), (new or "").splitlines(), *names, lineterm=""))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf["k"], "diff": [one(p, a, b) for p, a, b in zip(pdf["p"], pdf["a"], pdf["b"])]})
+
+    return df.select(F.col(key).alias("k"), F.col(path).alias("p"), F.col(before).alias("a"), F.col(after).alias("b")).mapInPandas(run, f"{key} {kind}, diff string")
+
+
+def first_line(answer: Column) -> Column:
+    """The first filled line of an answer without outer quotes; empty where there is none."""
+    line = F.regexp_extract(F.coalesce(answer, F.lit("")), r"([^\r\n]*\S[^\r\n]*)", 1)
+    return F.trim(F.regexp_replace(F.trim(line), "^[\"'`]+|[\"'`]+$", ""))

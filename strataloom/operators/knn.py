@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strataloom.functions import vector as VX
 from strataloom.operators.lexical import top
 
+CUBE = 4_000_000  # differences held at once
 QUERY_BLOCK = 4096  # queries on the driver at once: 2 MB at 64 numbers
 
 
@@ -27,17 +28,20 @@ def search(
     keep: Column | None = None,
     least: float | None = None,
     group: str | None = None,
+    only: DataFrame | None = None,
+    only_column: str | None = None,
 ) -> DataFrame:
     """(query_key, key, score, rank): the k best rows of each query.
 
     ``l2`` scores 1 / (1 + squared distance), ``cosine`` the cosine; rounded to 4 digits before ranking, ties to the
     smaller key. ``keep`` filters rows before, ``least`` drops lower scores. With ``group``, a column of both sides, rows of
-    the query's own group don't count. Vectors that are null or of another length than the query's are skipped.
+    the query's own group don't count. With ``only(query_key, group)``, a query that it names sees only rows with one of its groups in
+    ``only_column``; it must name few groups a query, as they go along with the block. Vectors that are null or of another length than the query's are skipped.
     The query side is taken in blocks of bounded size; each block is one narrow pass over the corpus,
     and only k rows a query leave a partition.
     """
     base = corpus.where(keep) if keep is not None else corpus
-    cols = [F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")] + ([F.col(group).alias("g")] if group else [])
+    cols = [F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")] + ([F.col(group).alias("g")] if group else []) + ([F.col(only_column).alias("o")] if only is not None else [])
     base = base.where(F.col(vector).isNotNull()).select(*cols)
     asked = queries.where(F.col(query_vector).isNotNull()).select(
         F.col(query_key).alias("q"), F.col(query_vector).cast("array<double>").alias("v"), *([F.col(group).alias("g")] if group else [])
@@ -52,11 +56,21 @@ def search(
         pdf = block.toPandas()  # about QUERY_BLOCK rows
         if not len(pdf):
             continue
-        shared = spark.sparkContext.broadcast((pdf["q"].to_numpy(), [np.asarray(v, float) for v in pdf["v"]], pdf["g"].to_numpy() if group else None))
+        seen: dict | None = None
+        if only is not None:
+            mine = only.where(F.pmod(F.xxhash64(F.col(query_key).cast(q_kind)), F.lit(blocks)) == b).toPandas()  # a few rows a query
+            place = {q: i for i, q in enumerate(pdf["q"])}
+            seen = {}
+            for q, g in zip(mine[query_key], mine["group"]):
+                seen.setdefault(g, []).append(place[q])
+        shared = spark.sparkContext.broadcast((pdf["q"].to_numpy(), [np.asarray(v, float) for v in pdf["v"]], pdf["g"].to_numpy() if group else None, seen))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, vectors, groups = shared.value
+            names, vectors, groups, seen = shared.value
             size = np.array([len(v) for v in vectors])
+            routed = np.zeros(len(names), bool)
+            for at in (seen or {}).values():
+                routed[at] = True
             held: list[pd.DataFrame] = []
             for rows in batches:
                 rows = rows[rows["v"].map(len) > 0]
@@ -70,10 +84,18 @@ def search(
                         lx, lq = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
                         s = (q @ x.T) / (np.where(lq == 0, 1e-10, lq)[:, None] * np.where(lx == 0, 1e-10, lx))
                     else:
-                        s = 1 / (1 + ((q[:, None, :] - x[None]) ** 2).sum(2)) if len(q) * len(x) * n < 4e7 else 1 / (1 + np.maximum(0, (q * q).sum(1)[:, None] - 2 * q @ x.T + (x * x).sum(1)))
+                        step = max(1, CUBE // (len(x) * n))
+                        s = 1 / (1 + np.concatenate([((q[a : a + step, None, :] - x[None]) ** 2).sum(2) for a in range(0, len(q), step)]))
                     s = np.round(s, 4)
                     if group:
                         s = np.where(groups[which][:, None] == own["g"].to_numpy()[None, :], -np.inf, s)
+                    if seen is not None:
+                        may = np.zeros((len(names), len(own)), bool)
+                        for g, rows_of in own.reset_index(drop=True).groupby("o").indices.items():
+                            if g in seen:
+                                may[np.ix_(seen[g], rows_of)] = True
+                        may[~routed] = True
+                        s = np.where(may[which], s, -np.inf)
                     s = np.where(np.isfinite(s) & (True if least is None else s >= least), s, -np.inf)
                     kth = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] if s.shape[1] > k else np.full((len(s), 1), -np.inf)
                     i, j = np.nonzero((s >= kth) & np.isfinite(s))

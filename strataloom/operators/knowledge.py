@@ -94,6 +94,29 @@ def is_enriched() -> Column:
     return (F.coalesce("ka_summary", F.lit("")) != "") | (F.coalesce("ka_keywords", F.lit("")) != "")
 
 
+def enrich_stored(chunks: DataFrame, key: str, answers: DataFrame, answer: str = "answer", overwrite: bool = False) -> DataFrame:
+    """``chunks`` with the ka_ fields of their answers written in, and ``status``: enriched, skipped or failed.
+
+    A chunk that has a summary or keywords is skipped unless ``overwrite``; an answer without a summary, or none at all, has failed and changes nothing.
+    """
+    fields = ["ka_summary", "ka_keywords", "ka_questions", "ka_entities", "ka_importance"]
+    have = chunks.withColumns({f: F.lit("") for f in fields if f not in chunks.columns})
+    new = extracted(answers.select(key, F.col(answer).alias("answer"))).select(key, *[F.col(f).alias(f"__{f}") for f in fields])
+    j = have.join(new, key, "left")
+    status = F.when(F.lit(not overwrite) & is_enriched(), "skipped").when(F.coalesce("__ka_summary", F.lit("")) == "", "failed").otherwise("enriched")
+    j = j.withColumn("status", status)
+    return j.withColumns({f: F.when(F.col("status") == "enriched", F.col(f"__{f}")).otherwise(F.col(f)) for f in fields}).drop(*[f"__{f}" for f in fields])
+
+
+def assign_topics(chunks: DataFrame, key: str, assigned: DataFrame, labels: DataFrame, column: str = "topics") -> DataFrame:
+    """``chunks`` with the slug of their cluster's label in ``column``; one without a cluster keeps what it had.
+
+    ``assigned(key, topic)``, ``labels(topic, label)``; a cluster without a label is named by its number.
+    """
+    named = assigned.select(key, "topic").join(F.broadcast(labels.select("topic", "label")), "topic", "left").select(key, topic_label(F.col("label"), F.col("topic")).alias("__t"))  # a row a cluster
+    return chunks.join(named, key, "left").withColumn(column, F.coalesce("__t", F.col(column))).drop("__t")
+
+
 def qa_pairs(answers: DataFrame, key: str, answer: str = "answer", n: int = 5) -> DataFrame:
     """(key, pos, question, answer): pairs of a JSON list with both fields filled, at most n a text."""
     got = F.from_json(X.unfence(F.col(answer)), "array<struct<question:string,answer:string>>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import shlex
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -103,6 +104,41 @@ def parsed_scores(answer: Column, n: Column) -> Column:
     return F.when(F.size(got) == n, F.transform(got, lambda x: F.greatest(F.lit(0.0), F.least(F.lit(10.0), x))))
 
 
+EXCERPT = 400  # characters of a text that a model is shown
+
+
+def model_rerank(pairs: DataFrame, query_key: str, key: str, query: str, text: str, rank: str, model: Callable[[str], str], k: int) -> DataFrame:
+    """(query_key, key, score, rank): each query's texts by the scores a model gives them in one answer, a JSON list of one number a text.
+
+    An answer that isn't such a list, or a failing model, leaves the order as it was, with scores of 0. A query's texts are the few rows of a search.
+    """
+    kinds = {c: pairs.schema[c].dataType.simpleString() for c in (query_key, key)}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("r", kind="stable")
+        shown = "\n\n".join(f"[{i}] {(t or '')[:EXCERPT]}" for i, t in enumerate(pdf["t"]))
+        try:
+            said = json.loads(model(f"{pdf['q'].iloc[0]}\n\n{shown}").strip())
+            scores = [float(x) for x in said] if isinstance(said, list) and len(said) == len(pdf) else [0.0] * len(pdf)
+        except Exception:  # noqa: BLE001  whatever a model does, the list stands
+            scores = [0.0] * len(pdf)
+        out = pd.DataFrame({query_key: pdf["a"], key: pdf["b"], "score": scores}).sort_values("score", ascending=False, kind="stable").head(k)
+        return out.assign(rank=range(1, len(out) + 1))
+
+    some = pairs.select(F.col(query_key).alias("a"), F.col(key).alias("b"), F.col(query).alias("q"), F.col(text).alias("t"), F.col(rank).alias("r"))
+    return some.groupBy("a").applyInPandas(run, f"{query_key} {kinds[query_key]}, {key} {kinds[key]}, score double, rank bigint")
+
+
+def cross_scorer(encode: Callable[[list[tuple[str, str]]], list[float]], batch: int = 64) -> Scorer:
+    """A scorer of a model that reads query and text together, given batches of pairs."""
+
+    def score(query: pd.Series, text: pd.Series) -> pd.Series:
+        both = list(zip(query.fillna(""), text.fillna("")))
+        return pd.Series([x for a in range(0, len(both), batch) for x in encode(both[a : a + batch])], dtype=float)
+
+    return score
+
+
 RERANKERS: dict[str, Scorer | None] = {"none": None, "lexical": lexical_overlap}
 
 

@@ -70,6 +70,36 @@ def gitignore(lines: Sequence[str], base: str = "") -> str:
     return "|".join(f"(?:{p})" for p in parts)
 
 
+def ignore_lines(spark: SparkSession, root: str) -> list[str]:
+    """Lines of the .gitignore of a folder; none where it has none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/.gitignore")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return []
+    return [r["value"] for r in spark.read.text(p.toString()).collect()]  # one small file
+
+
+def read_ini(path: str) -> dict[str, dict[str, str]]:
+    """Sections and their values of an INI file, read on the driver."""
+    import configparser
+
+    parser = configparser.ConfigParser()
+    with open(path, encoding="utf-8") as f:
+        parser.read_file(f)
+    return {name: dict(parser[name]) for name in parser.sections()}
+
+
+def branch(root: str) -> str:
+    """The branch a checked-out folder is on, from its HEAD; empty for a detached one and for other folders."""
+    import os
+
+    try:
+        with open(os.path.join(root, ".git", "HEAD"), encoding="utf-8") as f:
+            head = f.read().strip()
+    except OSError:
+        return ""
+    return head.removeprefix("ref: refs/heads/") if head.startswith("ref: ") else ""
+
+
 def repository(spark: SparkSession, root: str, repo_id: str, branch: str = "", ignore: Sequence[str] = ()) -> DataFrame:
     """(repo_id, branch, file_path, language, size, is_test, is_generated, content_hash, mtime, source) of a folder's files.
 
