@@ -175,7 +175,7 @@ def repository_search(spark: SparkSession, directory: str) -> DataFrame:
 
 @add("hierarchical_search", f"""WITH {ROUTE}, d AS (SELECT doc_id, source, {S.HASHED.format('text')} AS h FROM documents WHERE text IS NOT NULL)
     SELECT q.query_id, c.doc_id, {L2} AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY score DESC, c.doc_id) AS rank
-    FROM q JOIN route ON route.query_id = q.query_id JOIN d c ON c.source = route.repo_id QUALIFY rank <= 5""")
+    FROM q JOIN (SELECT query_id AS routed, repo_id FROM route) r ON r.routed = q.query_id JOIN d c ON c.source = r.repo_id QUALIFY rank <= 5""")
 def hierarchical_search(spark: SparkSession, directory: str) -> DataFrame:
     """The three nearest workspaces of each query, and of their documents the five nearest."""
     w, d, q = hashed(spark, directory)
