@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from typing import Any
+from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +19,37 @@ from strataloom.session import cut as session_cut
 from strataloom.sources import files
 
 
+class Indexer(Protocol):
+    """What keeps an index: each call gives the numbers of each kind of change."""
+
+    def ingest(self, source: Any, source_id: str) -> dict[str, int]: ...
+
+    def update(self, source: Any, source_id: str) -> dict[str, int]: ...
+
+    def delete(self, source_id: str) -> dict[str, int]: ...
+
+    def reindex(self, source: Any, source_id: str) -> dict[str, int]: ...
+
+
+class TableIndex:
+    """An index of rows with ``source_id``, a key and a hash in a table of a Store."""
+
+    def __init__(self, store: index.Store, name: str, key: str = "id", hash_col: str = "content_hash", owner: str = "source_id"):
+        self.store, self.name, self.key, self.hash_col, self.owner = store, name, key, hash_col, owner
+
+    def ingest(self, source: DataFrame, source_id: str) -> dict[str, int]:
+        return self.store.sync(self.name, source.withColumn(self.owner, F.lit(source_id)), self.key, self.hash_col)
+
+    update = ingest
+
+    def delete(self, source_id: str) -> dict[str, int]:
+        return {"deleted": self.store.delete(self.name, F.col(self.owner) == source_id)}
+
+    def reindex(self, source: DataFrame, source_id: str) -> dict[str, int]:
+        gone = self.delete(source_id)
+        return index.add_stats(self.ingest(source, source_id), gone)
+
+
 class Engine:
     """``embed`` makes a vector column of a text column; ``model`` answers a Series of prompts; both are plain functions."""
 
@@ -90,6 +121,10 @@ class Engine:
         )
         return p.run(queries, top_k or self.config.top_k, self.config.fetch_k, effective(search_filter, doc_id))
 
+    def search_workspace(self, queries: DataFrame, workspace: str | None = None, document_type: str = "notion", **options: Any) -> DataFrame:
+        """The same among the pages of a workspace, or of all workspaces."""
+        return self.search(queries, search_filter=SearchFilter(workspace=workspace, document_type=document_type), **options)
+
     def trace(self, queries: DataFrame, top_k: int | None = None) -> dict[str, DataFrame]:
         """Every stage's list, their overlap and their scores."""
         stages = {m: self.search(queries, top_k or self.config.fetch_k, m) for m in ("vector", "lexical", "hybrid")}

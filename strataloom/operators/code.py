@@ -164,6 +164,13 @@ def symbols(code: DataFrame) -> DataFrame:
     )
 
 
+def symbol_texts(symbols_: DataFrame, code: DataFrame) -> DataFrame:
+    """(symbol_id, text): kind and name of every symbol and, where its chunk has one, the docstring; of several chunks of a name in a file the last one's."""
+    docs = code.groupBy("repo_id", "file_path", F.col("name").alias("symbol_name")).agg(F.max_by("docstring", "start_line").alias("doc"))
+    j = symbols_.join(docs, ["repo_id", "file_path", "symbol_name"], "left")
+    return j.select("symbol_id", F.concat_ws("\n", F.concat_ws(" ", "symbol_type", "symbol_name"), F.nullif(F.trim("doc"), F.lit(""))).alias("text"))
+
+
 def file_texts(code: DataFrame) -> DataFrame:
     """(repo_id, file_path, text): a row a file, its symbols in order of their lines."""
     label = F.concat_ws(" ", "chunk_type", "name")

@@ -37,6 +37,17 @@ def related(links: DataFrame, chunks: DataFrame, key: str, text: str, most: int
     return links.join(t, "neighbour").select(key, "neighbour", "score", "rank", "text")
 
 
+def first_links(chunks: DataFrame, doc: str, order: list[str], ids: str, scores: str | None = None) -> DataFrame:
+    """(doc, place, linked, score): the links stored as lists in the first chunk of each document, in their order from 0.
+
+    A score that is missing or no number is null; a document whose first chunk has no links has no row.
+    """
+    some = [F.col(ids).alias("i"), *([F.col(scores).alias("s")] if scores else [F.lit("").alias("s")])]
+    first = chunks.where(F.col(doc).isNotNull()).groupBy(doc).agg(F.min_by(F.struct(*some), F.struct(*order)).alias("x"))
+    rows = first.select(doc, F.split(X.text_of(F.col("x.s")), ",").alias("s"), F.posexplode(X.list_of(F.col("x.i"))).alias("p", "linked"))
+    return rows.select(doc, F.col("p").cast("bigint").alias("place"), "linked", F.expr("try_cast(trim(try_element_at(s, p + 1)) as double)").alias("score"))
+
+
 def topics(df: DataFrame, key: str, vector: str, n: int = 8, seed: int = 42) -> DataFrame:
     """(key, topic, centroid): k-means with at most as many clusters as rows."""
     rows = df.where(F.col(vector).isNotNull()).select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))

@@ -96,3 +96,24 @@ def profile_block(top: DataFrame) -> DataFrame:
     """One row: the interests, heaviest first, as a line of a prompt."""
     parts = F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("w"), F.col("topic"))))
     return top.agg(F.concat(F.lit("Interests: "), F.array_join(F.transform(parts, lambda x: x["topic"]), ", ")).alias("block"))
+
+
+def timeline_block(days: DataFrame, most_days: int = 5, most_topics: int = 5) -> DataFrame:
+    """One row: the last active days ``(date, topics, n)`` in order, a line each with their first topics and the number of questions; empty without any."""
+    last = days.orderBy(F.desc("date")).limit(most_days)
+    asked = F.concat(F.lit("("), F.col("n").cast("string"), F.when(F.col("n") == 1, " question)").otherwise(" questions)"))
+    line = F.concat(F.lit("  "), F.col("date").cast("string"), F.lit(": "), F.array_join(F.slice("topics", 1, most_topics), ", "), F.lit(" "), asked)
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("date", line.alias("l")))), lambda x: x["l"])
+    return last.agg(F.when(F.count("*") > 0, F.array_join(F.concat(F.array(F.lit("Recent Activity:")), lines), "\n")).otherwise("").alias("block"))
+
+
+def research_block(sessions: DataFrame, notes: DataFrame, most: int = 5) -> DataFrame:
+    """(research, block): each session's status, its last queries and its last notes as lines of a prompt.
+
+    ``sessions(research, status, queries)`` with queries in order, ``notes(research, note, created_at)``.
+    """
+    kept = notes.groupBy("research").agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("created_at", "note")), asc=False), 1, most), lambda x: x["note"]).alias("notes"))
+    tail = lambda c: F.slice(c, F.greatest(F.lit(1), F.size(c) - most + 1), F.lit(most))
+    part = lambda title, c: F.when(F.size(c) > 0, F.concat(F.lit(title), F.array_join(F.transform(c, lambda x: F.concat(F.lit("  - "), x)), "\n")))
+    head = F.concat(F.lit("Research: "), F.col("research"), F.lit(" ("), F.col("status"), F.lit(")"))
+    return sessions.join(kept, "research", "left").select("research", F.concat_ws("\n", head, part("Queries:\n", tail(F.col("queries"))), part("Notes:\n", F.col("notes"))).alias("block"))

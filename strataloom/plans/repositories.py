@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions import text as X
-from strataloom.operators import chunking, code, evaluate, history, lookups, rerank, repos
+from strataloom.operators import chunking, code, evaluate, history, lookups, memory, rerank, repos
 from strataloom.operators import knowledge as kn
 from strataloom.plans import knowledge as K
 from strataloom.plans import search as S
@@ -465,3 +465,36 @@ def block_order(spark: SparkSession, directory: str) -> DataFrame:
     rows = [("a2x", "a2", 0), ("b", None, 1), ("a", None, 0), ("a2", "a", 1), ("a1", "a", 0), ("b1", "b", 0)]
     b = paged.tree_order(spark.createDataFrame([("p", *r) for r in rows], "page_id string, id string, parent_id string, position int"), "page_id", "id", "parent_id", "position")
     return b.select("id", "depth", "place")
+
+
+@add("timeline_block", f"""WITH {K.DAYS}, last AS (SELECT CAST(date AS VARCHAR) AS date, topics, n FROM day JOIN n USING (date) ORDER BY date DESC LIMIT 5)
+    SELECT 'Recent Activity:' || chr(10) || string_agg('  ' || date || ': ' || array_to_string(string_split(topics, '|')[1:5], ', ') || ' (' || n || CASE WHEN n = 1 THEN ' question)' ELSE ' questions)' END, chr(10) ORDER BY date) AS block FROM last""")
+def timeline_block(spark: SparkSession, directory: str) -> DataFrame:
+    d = K.timeline_daily(spark, directory)
+    return memory.timeline_block(d.withColumn("topics", F.split("topics", r"\|")))
+
+
+@add("first_links", """WITH c AS (SELECT chunk_uid, arg_max({'p': page_id, 'i': chunk_id, 't': tags}, indexed_at) AS x FROM chunks WHERE chunk_uid IS NOT NULL GROUP BY 1),
+    f AS (SELECT x.p AS page_id, arg_min({'t': x.t}, (x.i, chunk_uid)).t AS tags FROM c WHERE x.p IS NOT NULL GROUP BY 1),
+    l AS (SELECT page_id, list_filter(list_transform(string_split(coalesce(tags, ''), ','), lambda y: trim(y)), lambda y: y != '') AS v FROM f)
+    SELECT page_id, u.i - 1 AS place, v[u.i] AS linked, CAST(NULL AS DOUBLE) AS score FROM l, unnest(range(1, len(v) + 1)) u(i)""")
+def first_links(spark: SparkSession, directory: str) -> DataFrame:
+    """Tags stand for the ids of linked pages."""
+    return kn.first_links(chunks_in_force(spark, directory, "page_id", "chunk_id", "tags"), "page_id", ["chunk_id", "chunk_uid"], "tags")
+
+
+@add("sample_symbol_texts", values(
+    "symbol_id, text",
+    "'r::pkg/shape.py::class::Shape', 'class Shape' || chr(10) || 'A shape.'", "'r::pkg/shape.py::method::Shape.area', 'method Shape.area'", "'r::pkg/shape.py::method::Shape._hide', 'method Shape._hide'",
+    "'r::pkg/shape.py::function::build', 'function build'", "'r::pkg/shape.py::class::Port', 'class Port'",
+))
+def sample_symbol_texts(spark: SparkSession, directory: str) -> DataFrame:
+    c = code.chunks(sample(spark))
+    return code.symbol_texts(code.symbols(c), c)
+
+
+@add("sample_research_block", "SELECT 'r' AS research, array_to_string(['Research: r (active)', 'Queries:', '  - q2', '  - q3', 'Notes:', '  - late', '  - early'], chr(10)) AS block UNION ALL SELECT 's', 'Research: s (archived)'")
+def sample_research_block(spark: SparkSession, directory: str) -> DataFrame:
+    sessions = spark.createDataFrame([("r", "active", ["q1", "q2", "q3"]), ("s", "archived", [])], "research string, status string, queries array<string>")
+    notes = spark.createDataFrame([("r", "early", "2024-01-01"), ("r", "late", "2024-01-02"), ("r", "oldest", "2023-01-01")], "research string, note string, created_at string")
+    return memory.research_block(sessions, notes, 2)

@@ -6,12 +6,12 @@ from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from strataloom.operators import index
+from strataloom.operators import chunking, index
 
 
 def table_stream(spark: SparkSession, path: str, schema_of: DataFrame, files_per_trigger: int = 1000, latest_first: bool = False) -> DataFrame:
@@ -95,6 +95,28 @@ def sync_pages(pages: DataFrame, store: index.Store, name: str, checkpoint: str,
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def embed_pages(pages: DataFrame, store: index.Store, name: str, checkpoint: str, embed: Callable[[Column], Column], key: str = "id", text: str = "content") -> StreamingQuery:
+    """The second stage of a synchronisation: the pages of each micro-batch as embedded chunks in a table, unchanged ones skipped.
+
+    Each batch adds a row (batch, pages, status, added, modified, skipped) to the table ``name``_stats; a batch that fails is noted
+    there as failed and doesn't stop the next.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        n, got, status = batch.count(), {}, "ok"
+        try:
+            parts = chunking.recursive(batch, key, text)
+            rows = parts.select(F.concat_ws("::", F.col(key).cast("string"), F.col("chunk_id").cast("string")).alias("id"), F.col(key).alias("page_id"), "chunk_id", "content")
+            got = store.sync(name, rows.withColumns({"content_hash": F.sha2("content", 256), "embedding": embed(F.col("content"))}), "id", "content_hash")
+        except Exception as problem:  # noqa: BLE001  one batch's failure is not the others'
+            status = f"failed: {problem}"[:200]
+        line = batch.sparkSession.createDataFrame([(number, n, status, *(got.get(k, 0) for k in ("added", "modified", "skipped")))], "batch bigint, pages bigint, status string, added bigint, modified bigint, skipped bigint")
+        stats = f"{name}_stats"
+        store.replace(stats, index.upsert(store.read(stats), line, "batch") if store.exists(stats) else line)
+
+    return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def fan_out(turns: DataFrame, checkpoint: str, **sinks: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Each micro-batch of turns to every sink; a sink that fails is reported and doesn't stop the others."""
 

@@ -193,3 +193,13 @@ def test_small_files(tmp_path):
     assert files.branch(str(tmp_path)) == "main" and files.branch(str(tmp_path / "no")) == ""
     sinks.write_yaml({"a": [1, "é"]}, str(tmp_path / "a.yaml"))
     assert "é" in (tmp_path / "a.yaml").read_text(encoding="utf-8")
+
+
+def test_table_index(engine, spark):
+    from strataloom.app.engine import TableIndex
+
+    t = TableIndex(engine.store, "t")
+    rows = spark.createDataFrame([("a", "1"), ("b", "2")], "id string, content_hash string")
+    assert t.ingest(rows, "x")["added"] == 2 and t.update(rows, "x")["skipped"] == 2
+    assert t.reindex(rows, "x") == {"added": 2, "modified": 0, "skipped": 0, "deleted": 2}
+    assert t.delete("x") == {"deleted": 2} and t.delete("y") == {"deleted": 0}

@@ -26,14 +26,14 @@ def test_streams_equal_batches(spark, tmp_path):
     write(spark, path, rows[12:], TURNS, 1)
     batch = spark.read.parquet(path)
     stream = state.table_stream(spark, path, batch, files_per_trigger=1)
-    got = state.collected(state.interest_stream(stream.select(F.explode("topics").alias("topic"), "ts"), "topic", "ts"), "t_interests")
+    got = state.collected(state.interest_stream(stream.select(F.explode("topics").alias("topic"), "ts"), "topic", "ts"), str(tmp_path / "interests"))
     last = got.groupBy("topic").agg(F.max_by("weight", "n").alias("weight"), F.max("n").alias("n"))
     want = memory.interests(batch.select(F.explode("topics").alias("topic"), "ts"), "topic", "ts").select("topic", "weight", "n")
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
-    days = state.collected(state.timeline_stream(stream, "ts"), "t_days").groupBy("date").agg(F.max("n"))
+    days = state.collected(state.timeline_stream(stream, "ts"), str(tmp_path / "days")).groupBy("date").agg(F.max("n"))
     assert sorted(map(tuple, days.collect())) == sorted(map(tuple, batch.groupBy(F.to_date("ts")).count().collect()))
     one = spark.readStream.schema(batch.schema).parquet(path)
-    rolled = state.collected(state.session_stream(one, "session_id", "id", "topics", 4), "t_sessions")
+    rolled = state.collected(state.session_stream(one, "session_id", "id", "topics", 4), str(tmp_path / "sessions"))
     assert {r["session_id"]: r["n"] for r in rolled.groupBy("session_id").agg(F.max("n").alias("n")).collect()} == {"s0": 10, "s1": 10, "s2": 10}
 
 
@@ -61,3 +61,22 @@ def test_a_failing_sink_stops_no_other(spark, tmp_path, capsys):
     q = state.fan_out(spark.readStream.schema(TURNS).parquet(path), str(tmp_path / "ck"), bad=bad, good=lambda df, n: seen.append(df.count()))
     q.awaitTermination()
     assert sum(seen) == 5 and q.exception() is None
+
+
+def test_embed_pages(spark, tmp_path):
+    from strataloom.functions.text import hash_embedding
+
+    spark.createDataFrame([("p", "some text"), ("q", None)], "id string, content string").write.parquet(str(tmp_path / "pages"))
+    pages = state.table_stream(spark, str(tmp_path / "pages"), spark.read.parquet(str(tmp_path / "pages")))
+    store = Store(spark, str(tmp_path / "store"))
+    state.embed_pages(pages, store, "c", str(tmp_path / "c1"), hash_embedding).awaitTermination()
+    assert [(r["id"], len(r["embedding"])) for r in store.read("c").collect()] == [("p::0", 16)]
+    no = lambda c: F.raise_error(F.concat(F.lit("no "), c)).cast("array<double>")
+    # what is known isn't embedded again
+    state.embed_pages(pages, store, "c", str(tmp_path / "c2"), no).awaitTermination()
+    assert store.read("c_stats").first()["status"] == "ok"
+    spark.createDataFrame([("r", "new text")], "id string, content string").write.mode("append").parquet(str(tmp_path / "pages"))
+    state.embed_pages(pages, store, "c", str(tmp_path / "c3"), no).awaitTermination()
+    assert store.read("c").count() == 1
+    (r,) = store.read("c_stats").collect()
+    assert r["pages"] == 3 and r["status"].startswith("failed")
