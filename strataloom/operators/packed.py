@@ -201,5 +201,6 @@ def unpack(df: DataFrame, key: str, fields: Sequence[str], least: int = 1) -> Da
         total = counts.agg(F.sum("c")).first()[0] or 1.0
         chosen = cut(sure.unionByName(_cheapest(amb, counts, float(total))))
         first = chosen.select(F.col("n").cast("double").alias("w"), F.explode("values").alias("v")).groupBy(F.lower("v").alias("v")).agg(F.sum("w").alias("c"))
-    rows = lookup(long, chosen.where(F.size("values") >= least).select("raw", "values"), "raw", key)
+    several = chosen.where(F.size("values") >= least)
+    rows = lookup(long, several.select("raw", "values"), "raw", key, counts=several)
     return rows.select(key, "field", F.posexplode("values").alias("pos", "item")).withColumn("pos", F.col("pos").cast("bigint"))

@@ -126,6 +126,8 @@ def test_lookup_deals_hot_keys(spark):
     right = left.where("k is not null").groupBy("k").count()
     hot, plain = (lookup(left, right, "k", "id", n) for n in (20, 1000))
     assert sorted(hot.collect()) == sorted(plain.collect()) and hot.count() == 667
+    told = lookup(left, right, "k", "id", 20, right.withColumnRenamed("count", "n"))
+    assert sorted(told.collect()) == sorted(plain.collect())
     sizes = [r["count"] for r in hot.groupBy("k", F.pmod(F.xxhash64("id"), F.lit(17))).count().collect()]
     assert max(sizes) <= 3 * 20
 
