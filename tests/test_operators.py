@@ -1,7 +1,9 @@
 """Operators on small inline tables, with the values they must give."""
 
 import datetime as dt
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +93,65 @@ def test_knn_and_mmr(spark):
     assert [r["id"] for r in knn.mmr(found, "query_id", "id", "v", "score", 2, 0.3).orderBy("rank").collect()] == [1, 3]
 
 
+def _shuffled(spark, run):
+    """Records that the shuffles of ``run`` write."""
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        listed = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {s.stageId(): s.shuffleWriteRecords() for s in (listed.apply(i) for i in range(listed.size()))}
+
+    before = stages()
+    run()
+    time.sleep(0.5)
+    return sum(n for i, n in stages().items() if i not in before)
+
+
+def test_bm25_moves_no_pairs(spark):
+    docs = spark.range(2000).selectExpr("id", "concat('the fox ', id % 50) as text")
+    q = spark.range(200).selectExpr("id as query_id", "concat('the ', id % 50) as query")
+    want = lambda i: [(i % 50 + 50 * r, r + 1) for r in range(3)]
+    out = []
+    # every query shares a word with every document: 400,000 pairs
+    moved = _shuffled(spark, lambda: out.extend(lexical.search(docs, q, "id", "text", 3).collect()))
+    assert moved < 40_000
+    got = {i: sorted(((r["id"], r["rank"]) for r in out if r["query_id"] == i), key=lambda x: x[1]) for i in range(200)}
+    assert got == {i: want(i) for i in range(200)}
+    # a repeated term counts repeatedly, in any number of blocks
+    twice = spark.createDataFrame([(1, "fox 7"), (2, "fox 7 7"), (3, "7 fox")], "query_id int, query string")
+    score = lambda: {r["query_id"]: r["score"] for r in lexical.search(docs.where("id < 60"), twice, "id", "text", 1).collect()}
+    one = score()
+    assert one[1] == one[3] < one[2]
+    whole, lexical.TERM_BLOCK = lexical.TERM_BLOCK, 1
+    try:
+        assert score() == one
+    finally:
+        lexical.TERM_BLOCK = whole
+
+
+def test_nearest_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(900, 6)).round(1), rng.normal(size=(40, 6)).round(1)
+    x[100:140] = x[200]  # ties, more than k
+    y[0] = x[200]
+    docs = spark.createDataFrame([(i, v.tolist(), i % 7) for i, v in enumerate(x)], "id int, v array<double>, g int")
+    q = spark.createDataFrame([(i, v.tolist(), i % 7) for i, v in enumerate(y)], "query_id int, vector array<double>, g int")
+    squares = ((y[:, None] - x[None]) ** 2).sum(2)
+    cosines = (y @ x.T) / (np.linalg.norm(y, axis=1)[:, None] * np.linalg.norm(x, axis=1))
+    allowed = np.arange(40)[:, None] % 7 != np.arange(900)[None] % 7
+    whole, knn.CUBE = knn.CUBE, 5_000
+    try:
+        for metric, s in (("l2", 1 / (1 + squares)), ("cosine", cosines)):
+            for group in (None, "g"):
+                s = np.round(s, 4)
+                shown = s if group is None else np.where(allowed, s, -np.inf)
+                want = {(i, j, r + 1) for i in range(40) for r, j in enumerate(np.lexsort((np.arange(900), -shown[i]))[:20].tolist())}
+                got = knn.search(docs, q, "id", "v", 20, metric=metric, group=group).collect()
+                assert {(r["query_id"], r["id"], r["rank"]) for r in got} == want
+    finally:
+        knn.CUBE = whole
+
+
 def test_rrf(spark):
     lists = lambda rows: spark.createDataFrame(rows, "query_id int, list_id string, key string, rank int, score double")
     got = {r["key"]: r["score"] for r in fusion.rrf(lists([(1, "a", "a", 1, 0.0), (1, "b", "b", 1, 0.0)]), "query_id", "key").collect()}
