@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strataloom.functions import vector as VX
 from strataloom.operators.lexical import top
 
-CUBE = 4_000_000  # differences held at once
+CUBE = 4_000_000  # products or differences held at once
 QUERY_BLOCK = 4096  # queries on the driver at once: 2 MB at 64 numbers
 
 
@@ -71,39 +71,73 @@ def search(
             routed = np.zeros(len(names), bool)
             for at in (seen or {}).values():
                 routed[at] = True
+            lowest = -np.inf if least is None else least
+            floor = np.full(len(names), lowest)  # scores that a row must reach
             held: list[pd.DataFrame] = []
             for rows in batches:
-                rows = rows[rows["v"].map(len) > 0]
-                for n in np.unique(rows["v"].map(len)) if len(rows) else []:
+                length = rows["v"].map(len)
+                for n in np.unique(length[length > 0]):
                     which = np.flatnonzero(size == n)
-                    own = rows[rows["v"].map(len) == n]
+                    own = rows[length == n]
                     if not len(which):
                         continue
                     x, q = np.stack(own["v"].to_numpy()), np.stack([vectors[i] for i in which])
-                    if metric == "cosine":
-                        lx, lq = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
-                        s = (q @ x.T) / (np.where(lq == 0, 1e-10, lq)[:, None] * np.where(lx == 0, 1e-10, lx))
-                    else:
-                        step = max(1, CUBE // (len(x) * n))
-                        s = 1 / (1 + np.concatenate([((q[a : a + step, None, :] - x[None]) ** 2).sum(2) for a in range(0, len(q), step)]))
-                    s = np.round(s, 4)
-                    if group:
-                        s = np.where(groups[which][:, None] == own["g"].to_numpy()[None, :], -np.inf, s)
-                    if seen is not None:
-                        may = np.zeros((len(names), len(own)), bool)
-                        for g, rows_of in own.reset_index(drop=True).groupby("o").indices.items():
-                            if g in seen:
-                                may[np.ix_(seen[g], rows_of)] = True
-                        may[~routed] = True
-                        s = np.where(may[which], s, -np.inf)
-                    s = np.where(np.isfinite(s) & (True if least is None else s >= least), s, -np.inf)
-                    kth = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] if s.shape[1] > k else np.full((len(s), 1), -np.inf)
-                    i, j = np.nonzero((s >= kth) & np.isfinite(s))
-                    held.append(pd.DataFrame({"q": names[which][i], "k": own["k"].array[j], "score": s[i, j]}))
-                if sum(map(len, held)) > 200_000:
-                    held = [_best(pd.concat(held), k)]
+                    lx, lq = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
+                    g = own["g"].to_numpy() if group else None
+                    routes = own.reset_index(drop=True).groupby("o").indices if seen is not None else {}
+                    step = max(1, CUBE // len(x))
+                    for a in range(0, len(which), step):
+                        w, part = which[a : a + step], q[a : a + step]
+                        # the lower the nearer: squared distances but for what products of matrices lose, or cosines with their sign changed
+                        far = part @ x.T
+                        if metric == "cosine":
+                            far /= -(np.where(lq[a : a + step] == 0, 1e-10, lq[a : a + step])[:, None] * np.where(lx == 0, 1e-10, lx))
+                            slack = 0.0
+                        else:
+                            far *= -2
+                            far += (lq[a : a + step] ** 2)[:, None]
+                            far += lx**2
+                            slack = 1e-9 * (1 + lq[a : a + step] ** 2 + (lx**2).max())
+                        hidden = groups[w][:, None] == g[None, :] if group else None
+                        if seen is not None:
+                            may = np.zeros((len(names), len(own)), bool)
+                            for o, rows_of in routes.items():
+                                if o in seen:
+                                    may[np.ix_(seen[o], rows_of)] = True
+                            may[~routed] = True
+                            hidden = ~may[w] if hidden is None else hidden | ~may[w]
+                        if hidden is not None:
+                            far[hidden] = np.inf
+                        fresh = np.flatnonzero(floor[w] <= lowest) if len(x) > k else []
+                        if len(fresh):
+                            kth = np.partition(far[fresh], k - 1, axis=1)[:, k - 1] + (slack if np.isscalar(slack) else slack[fresh])
+                            with np.errstate(divide="ignore", invalid="ignore"):
+                                reached = -kth if metric == "cosine" else 1 / (1 + np.maximum(kth, 0))
+                            floor[w[fresh]] = np.where(np.isfinite(kth), np.maximum(lowest, np.round(reached, 4) - 1e-4), lowest)
+                        # scores are rounded, so all within half a step of the floor are looked at
+                        low = floor[w] - 0.6e-4
+                        with np.errstate(divide="ignore", invalid="ignore"):
+                            bound = -low if metric == "cosine" else np.where(low > 0, 1 / low - 1 + slack, np.inf)
+                        near = ~(far > bound[:, None])
+                        if hidden is not None:
+                            near &= ~hidden
+                        i, j = np.nonzero(near)
+                        if metric == "cosine":
+                            s = -far[i, j]
+                        else:
+                            some = max(1, CUBE // n)
+                            s = 1 / (1 + np.concatenate([((part[i[c : c + some]] - x[j[c : c + some]]) ** 2).sum(1) for c in range(0, max(1, len(i)), some)]))
+                        s = np.round(s, 4)
+                        good = np.isfinite(s) & (s >= floor[w][i])
+                        i, j, s = i[good], j[good], s[good]
+                        held.append(pd.DataFrame({"q": names[w[i]], "k": own["k"].array[j], "score": s, "at": w[i]}))
+                        if sum(map(len, held)) > 200_000:
+                            held = [_best(pd.concat(held), k)]
+                            full = held[0].groupby("at")["score"].agg(["size", "min"])
+                            full = full[full["size"] == k]
+                            floor[full.index] = np.maximum(floor[full.index], full["min"])
             if held:
-                yield _best(pd.concat(held), k)
+                yield _best(pd.concat(held), k)[["q", "k", "score"]]
 
         parts.append(base.mapInPandas(run, schema))
     if not parts:
