@@ -6,7 +6,7 @@ from test_operators import _shuffled
 import __spark_entry__ as entry
 
 DOCS, QUERIES = 2000, 200
-NAMES = ["bm25_topk", "hybrid_search", "reranked_search", "context_blocks"]
+NAMES = ["bm25_topk", "hybrid_search", "reranked_search", "context_blocks", "model_rerank"]
 
 
 @pytest.fixture(scope="module")
