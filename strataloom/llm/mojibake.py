@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -63,22 +63,42 @@ def _bytes(run: str, codec: str) -> bytes:
     return bytes([of[c] for c in run])
 
 
+def _pair_rows(texts: Iterable[str]) -> pd.DataFrame:
+    """(a, b, plain, capitals): how often code point b follows a, a line end before a text's first, as written and in capitals."""
+    plain: Counter = Counter()
+    capitals: Counter = Counter()
+    for t in texts:
+        for counts, v in ((plain, t), (capitals, t.upper())):
+            counts.update(zip("\n" + v, v))
+    pairs = list(dict.fromkeys([*plain, *capitals]))
+    rows = [(ord(a), ord(b), plain[a, b], capitals[a, b]) for a, b in pairs]
+    return pd.DataFrame(rows, columns=["a", "b", "plain", "capitals"])
+
+
+def pair_counts(samples: DataFrame, text: str) -> pd.DataFrame:
+    """(a, b, plain, capitals) of all samples, added up before they move: at most as many rows as there are different pairs of characters."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield _pair_rows(pdf["t"])
+
+    part = samples.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(count, "a int, b int, plain bigint, capitals bigint")
+    return part.groupBy("a", "b").agg(F.sum("plain").alias("plain"), F.sum("capitals").alias("capitals")).toPandas()
+
+
 class CharModel:
     """Log-probabilities of characters given the one before, in a hashed table; unseen ones by their kind."""
 
     BITS = 18
 
-    def __init__(self, texts: list[str], corpus: dict[int, int] | None = None):
-        both: Counter = Counter()
-        one: Counter = Counter()
-        for t in texts:
-            for v in (t, t.upper()):
-                weight = 1.0 if v is t else 0.1
-                for a, b in zip("\n" + v, v):
-                    both[a, b] += weight
-                for c in v:
-                    one[c] += weight
-        total = sum(one.values()) or 1.0
+    def __init__(self, texts: list[str], corpus: dict[int, int] | None = None, pairs: pd.DataFrame | None = None):
+        """Of clean ``texts``, or of what ``pair_counts`` counted in them."""
+        if pairs is None:
+            pairs = _pair_rows(texts)
+        first, then = pairs["a"].to_numpy(np.int64), pairs["b"].to_numpy(np.int64)
+        weight = pairs["plain"].to_numpy(float) + 0.1 * pairs["capitals"].to_numpy(float)
+        one = np.bincount(then, weight, 0x110000)
+        total = one.sum() or 1.0
         kind = np.full(0x110000, -10.5, np.float32)  # by kind: symbols
         for lo, hi, lp in (
             (0x20, 0x7F, -7.0), (0x09, 0x0E, -7.0), (0x00, 0x09, -20.0), (0x0E, 0x20, -20.0), (0x7F, 0xA0, -22.0), (0xA0, 0xA1, -12.0), (0xAD, 0xAE, -18.0),
@@ -87,14 +107,14 @@ class CharModel:
         ):
             kind[lo:hi] = lp
         self.one = kind
-        for c, n in one.items():
-            self.one[ord(c)] = np.log(n / total * 0.98 + 1e-7)
+        known = np.flatnonzero(one)
+        self.one[known] = np.log(one[known] / total * 0.98 + 1e-7)
         seen = sum((corpus or {}).values()) or 1
         for c, n in (corpus or {}).items():
             self.one[c] = max(self.one[c], np.log(0.3 * n / seen))
         self.both = np.full(1 << self.BITS, -np.inf, np.float32)
-        for (a, b), n in both.items():
-            self.both[self._at(np.array([ord(a)]), np.array([ord(b)]))[0]] = np.log(0.75 * n / max(one[a], n) + 1e-9)
+        if len(first):
+            np.maximum.at(self.both, self._at(first, then), np.log(0.75 * weight / np.maximum(one[first], weight) + 1e-9).astype(np.float32))
         self.rest = np.float32(np.log(0.25))
         self.kept: dict[str, float] = {}
         self.runs: dict[tuple[str, str], dict[str, str]] = {}
@@ -320,7 +340,7 @@ def chains(text: str, model: CharModel, keep: int = 6) -> list[tuple[str, float]
 def letter_counts(df: DataFrame, text: str) -> dict[int, int]:
     """How often each letter beyond Latin and Greek occurs in all texts: at most as many rows as Unicode has letters.
 
-    Wrong decoding rarely makes common letters of these scripts, so all records serve as the sample.
+    Wrong decoding rarely makes common letters of these scripts, so all records count, garbled ones too.
     """
     want = re.compile("[\u0400-\u052f\u0590-\u06ff\u0900-\u0e7f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3]")
 
@@ -403,15 +423,13 @@ def posterior(evidence: DataFrame, sizes: DataFrame, rounds: int = 4) -> DataFra
     return post.groupBy("key").agg(F.max_by("chain", F.struct(F.round("p", 9), "chain")).alias("chain"), F.max("p").alias("p"))
 
 
-def restore(df: DataFrame, key: str, text: str, source: str, field: str, samples: DataFrame, sample_text: str = "text", sample_rows: int = 2000) -> DataFrame:
+def restore(df: DataFrame, key: str, text: str, source: str, field: str, samples: DataFrame, sample_text: str = "text") -> DataFrame:
     """(key, chain, p, restored): every record with garbled text; restored is null where characters were lost.
 
-    The character model is fitted on at most ``sample_rows`` clean sentences and the letters of all records. Null, empty and clean texts give
+    The character model is fitted on all clean sentences of ``samples`` and the letters of all records. Null, empty and clean texts give
     no rows; a null source or field is a source of its own. ``key`` must be unique. Only sums per
     source and field, and one chain a record, are shuffled; texts stay where they are read twice.
     """
-    part = samples.where(F.col(sample_text).isNotNull())
-    got = part.orderBy(F.xxhash64(sample_text), sample_text).limit(sample_rows).toPandas()
     kind = df.schema[key].dataType.simpleString()
     base = df.select(
         F.col(f"`{key}`").alias("key"),
@@ -420,7 +438,7 @@ def restore(df: DataFrame, key: str, text: str, source: str, field: str, samples
         F.coalesce(F.col(f"`{field}`").cast("string"), F.lit("")).alias("field"),
     )
     odd = spread(base.where(F.col("t").rlike(r"[^\x00-\x7f]")))
-    shared = df.sparkSession.sparkContext.broadcast(CharModel(got[sample_text].tolist(), letter_counts(odd, "t")))  # 6 MB, fixed
+    shared = df.sparkSession.sparkContext.broadcast(CharModel([], letter_counts(odd, "t"), pair_counts(samples, sample_text)))  # 6 MB, fixed
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value

@@ -1,3 +1,4 @@
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -112,3 +113,14 @@ def test_replacement_characters(spark, samples):
     assert got[1] is None and 2 not in got
     assert {k for k in got if k >= 200} == {200 + i for i in range(30)} and not any(got[k] for k in got if k >= 200)
     assert not any(100 <= k < 200 for k in got)
+
+
+def test_all_samples_count(spark, samples, monkeypatch):
+    many = [f"{chr(0x4E00 + i)}{i}" for i in range(2500)]
+    made, init = [], M.CharModel.__init__
+    monkeypatch.setattr(M.CharModel, "__init__", lambda self, *a, **k: (init(self, *a, **k), made.append(self))[0])
+    restore(spark, [(1, "Déjà vu.", "a", "note")], pd.DataFrame({"text": [*many, None]}))
+    begins = np.array([ord(t[0]) for t in many])
+    assert np.isfinite(made[0].both[made[0]._at(np.full(len(begins), 10), begins)]).all()
+    own = M.CharModel(many)
+    assert np.allclose(own.one, made[0].one) and np.array_equal(np.isfinite(own.both), np.isfinite(made[0].both))
