@@ -57,7 +57,7 @@ def test_scores_only_what_can_be_among_the_best(monkeypatch, least, cells):
         assert looked < 1500 * 80 // 10
 
 
-@pytest.mark.parametrize("name", ["reranked_search", "context_blocks"])
+@pytest.mark.parametrize("name", ["reranked_search", "context_blocks", "model_rerank"])
 def test_no_pattern_over_documents(spark, tmp_path, monkeypatch, name):
     d, calls, pattern = str(tmp_path), [], X.F.regexp_extract_all
     spark.range(50).selectExpr("id as doc_id", "concat('the fox ', id % 5) as text").write.parquet(f"{d}/documents.parquet")
