@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm import vectors as V
+from strataloom.session import cut, release
+
 PROJECTIONS = 24
 COLLISIONS = 19  # of 24 windows of two standard deviations: a neighbour at the radius fails with 2 in 1000
 SLOTS = 16  # half width of the last window
@@ -113,7 +115,12 @@ def neighbours(df: DataFrame, key: str, vector: str, size: int, limit: float, k:
     """
     reps, members = V.copies(V.usable(df, key, vector, size), k)
     route = V.routing(reps, size)
+    release(df.sparkSession)
     laid = V.routed(reps, route, "named array<string>")
+    # of the vectors, no more than this second copy is kept
+    members, groups = cut(members), cut(reps.where("n > 1").select("rep", "named"))
+    del reps
+    release(df.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # several names of one vector: its copies, all with the same cosine to others
@@ -141,9 +148,8 @@ def neighbours(df: DataFrame, key: str, vector: str, size: int, limit: float, k:
     found = V.by_turns(laid, route, "named array<string>", lambda b: b.groupBy("block").applyInPandas(run, f"rep string, near {near}"))
     merged = found.groupBy("rep").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
     # every member of a group of copies: its copies first, then the neighbours of the group
-    everyone = members.select("key", "rep").unionByName(reps.where("n = 1").select(F.col("rep").alias("key"), "rep"))
-    groups = reps.where("n > 1").select("rep", "named")
-    full = everyone.join(merged, "rep", "left").join(groups, "rep", "left")
+    alone = merged.join(groups, "rep", "left_anti").select(F.col("rep").alias("key"), "rep")
+    full = members.select("key", "rep").unionByName(alone).join(merged, "rep", "left").join(groups, "rep", "left")
     same = F.transform(F.filter(F.coalesce("named", F.array().cast("array<string>")), lambda n: n != F.col("key")), lambda n: F.struct(F.lit(-1.0).alias("s"), n.alias("other")))
     all_of = F.slice(F.sort_array(F.concat(same, F.coalesce("near", F.array().cast(near)))), 1, k)
     return full.select("key", F.posexplode(all_of).alias("r", "x")).select(

@@ -7,7 +7,7 @@ share one of a fixed few, so ``caps`` grows with each doubling of the directions
 0.85 at least 94 in 100 meet whatever the size. Beyond PLAIN_DIRECTIONS a direction is the sum of one of each of two
 sets, so that a million of them cost two thousand projections; these resemble each other more, which more caps make up for.
 The blocks are made in turns, so that no more than TURN_CAPS copies
-of a vector lie on disk at once. The load of every direction is counted; a crowded one is split into parts by a hash,
+of a vector lie in blocks at once. The load of every direction is counted; a crowded one is split into parts by a hash,
 and every pair of its parts makes a block: nothing is left out and no task holds a hot group.
 """
 
@@ -29,7 +29,7 @@ CAPS = 4  # directions a vector joins where there are at most 64
 CAPS_MORE, SUM_CAPS_MORE = 1, 2.5  # so many more with each doubling, of plain directions and of sums
 ROWS_PER_DIRECTION = 512  # the more, the fewer copies move and the more pairs a block compares
 PLAIN_DIRECTIONS = 16_384
-TURN_CAPS = 3  # copies of a vector that are in blocks at once
+TURN_CAPS = 1  # copies of a vector that are in blocks at once
 SCORES = 1 << 22  # projections held at once
 PART_ROWS = 16_384  # rows of one part of a crowded direction
 

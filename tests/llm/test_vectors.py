@@ -193,3 +193,19 @@ def test_small_blocks(n):
     x = np.eye(SIZE)[:n]
     i, _, _ = K.search(x, x, True, LIMIT, 5)
     assert not len(i)
+
+
+@pytest.mark.parametrize("found", [found_pairs])
+def test_a_turn_has_one_copy_of_each_vector(spark, monkeypatch, found):
+    names, x = data(9, groups=20, each=5, noise=700, cos=0.9)
+    monkeypatch.setattr(V, "ROWS_PER_DIRECTION", 12)
+    monkeypatch.setattr(D, "ROWS_PER_DIRECTION", 12)
+    made, blocks = [], V.blocks
+
+    def seen(vectors, *a, **k):
+        made.append((blocks(vectors, *a, **k).count(), vectors.count()))
+        return blocks(vectors, *a, **k)
+
+    monkeypatch.setattr(V, "blocks", seen)
+    assert found(frame(spark, names, x))
+    assert len(made) >= 4 and all(rows < 1.6 * n for rows, n in made)
