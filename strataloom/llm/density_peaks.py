@@ -61,8 +61,7 @@ def _pairs(pdf: pd.DataFrame, limit: float) -> Iterator[tuple[np.ndarray, np.nda
 def densities(vectors: DataFrame, route: V.Routing, limit: float) -> DataFrame:
     """(rep, density, vec, caps): weighted number of similar other vectors, at least 1; vectors without any have no row.
 
-    A pair that meets in several blocks counts in the one of the smallest direction it shares. Its
-    vector and directions come along, so those with neighbours needn't be joined with all again.
+    A pair that meets in several blocks counts in the one of the smallest direction it shares.
     """
 
     kind = route.kind
@@ -76,13 +75,13 @@ def densities(vectors: DataFrame, route: V.Routing, limit: float) -> DataFrame:
             i, j = i[first], j[first]
             sums += np.bincount(i, n[j], len(pdf)).astype(np.int64) + np.bincount(j, n[i], len(pdf)).astype(np.int64)
         some = np.flatnonzero(sums)
-        return pdf[["rep", "vec", "caps"]].iloc[some].assign(density=sums[some])[["rep", "density", "vec", "caps"]]
+        return pdf[["rep"]].iloc[some].assign(density=sums[some])
 
     def total(found: DataFrame) -> DataFrame:
-        return found.groupBy("rep").agg(F.sum("density").alias("density"), F.any_value("vec").alias("vec"), F.any_value("caps").alias("caps"))
+        return found.groupBy("rep").agg(F.sum("density").alias("density"))
 
-    schema = "rep string, density bigint, vec binary, caps binary"
-    return total(V.by_turns(vectors, route, "n bigint", lambda b: total(b.groupBy("block").applyInPandas(run, schema))))
+    found = V.by_turns(vectors, route, "n bigint", lambda b: b.groupBy("block").applyInPandas(run, "rep string, density bigint"))
+    return total(found).join(vectors.select("rep", "vec", "caps"), "rep").select("rep", "density", "vec", "caps")
 
 
 def _hook(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -155,7 +154,13 @@ def cluster(df: DataFrame, key: str, vector: str, size: int, limit: float, least
     reps = reps.select("rep", "v", "n")
     route = V.routing(reps, size, ROWS_PER_DIRECTION)
     release(df.sparkSession)
-    dense = cut(densities(V.routed(reps, route, "n bigint"), route, limit))
+    laid = V.routed(reps, route, "n bigint")
+    # of the vectors, no more than this second copy is kept
+    members, several = cut(members), cut(reps.where("n > 1").select("rep", "n"))
+    del reps
+    release(df.sparkSession)
+    dense = cut(densities(laid, route, limit))
+    del laid
     release(df.sparkSession)
     found = cut(pointers(dense, route, limit))
     release(df.sparkSession)
@@ -174,13 +179,13 @@ def cluster(df: DataFrame, key: str, vector: str, size: int, limit: float, least
     whole = components(edges, "a", "b")
     placed = label.join(whole, F.col("label") == F.col("node")).select("rep", "component", (F.col("rep") == F.col("label")).alias("peak"))
     # copies without other neighbours are sets of their own
-    alone = reps.where("n > 1").join(dense, "rep", "left_anti").select("rep", F.col("rep").alias("component"), F.lit(True).alias("peak"))
-    placed = placed.unionByName(alone).join(reps.select("rep", "n"), "rep").join(dense, "rep", "left").join(near, "rep", "left")
+    alone = several.join(dense, "rep", "left_anti").select("rep", F.col("rep").alias("component"), F.lit(True).alias("peak"))
+    placed = placed.unionByName(alone).join(several, "rep", "left").join(dense, "rep", "left").join(near, "rep", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     size_of = placed.groupBy("component").agg(F.min("rep").alias("cluster_key"), F.sum("n").alias("size")).where(F.col("size") >= least)
     rows = cut(placed.join(size_of, "component").select("cluster_key", "size", "rep", "n", "peak", F.round("cos", 6).alias("nearest"), (F.coalesce("density", F.lit(0)) + F.col("n") - 1).alias("density")))
     single = rows.where("n = 1").select("cluster_key", "size", F.col("rep").alias(key), "density", "nearest", "peak")
-    several = members.join(rows.where("n > 1"), "rep").select("cluster_key", "size", F.col("key").alias(key), "density", "nearest", "peak")
-    return single.unionByName(several)
+    copied = members.join(rows.where("n > 1"), "rep").select("cluster_key", "size", F.col("key").alias(key), "density", "nearest", "peak")
+    return single.unionByName(copied)
 
 
 def profiles(members: DataFrame, key: str, about: DataFrame, topic: str, typical: int = 3) -> DataFrame:

@@ -195,7 +195,7 @@ def test_small_blocks(n):
     assert not len(i)
 
 
-@pytest.mark.parametrize("found", [found_pairs])
+@pytest.mark.parametrize("found", [found_pairs, found_clusters])
 def test_a_turn_has_one_copy_of_each_vector(spark, monkeypatch, found):
     names, x = data(9, groups=20, each=5, noise=700, cos=0.9)
     monkeypatch.setattr(V, "ROWS_PER_DIRECTION", 12)
