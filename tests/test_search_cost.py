@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from test_operators import _shuffled
 
 import __spark_entry__ as entry
 from strataloom.functions import text as X
@@ -65,3 +66,34 @@ def test_no_pattern_over_documents(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(X.F, "regexp_extract_all", lambda *a: calls.append(a) or pattern(*a))
     assert entry.queries()[name](spark, d).select("query_id").distinct().count() == 3
     assert len(calls) == 1  # the queries' texts
+
+
+@pytest.mark.parametrize("name", ["context_blocks"])
+def test_moves_only_texts_that_were_found(spark, tmp_path, name):
+    d, n, kept = str(tmp_path), 5000, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.range(n).selectExpr("id as doc_id", "concat('the fox ', id % 5) as text").write.parquet(f"{d}/documents.parquet")
+    spark.range(1, 4).selectExpr("id * 100 as id", "concat('fox ', id) as question").write.parquet(f"{d}/conversation_turns.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _shuffled(spark, lambda: entry.queries()[name](spark, d).collect()) < n // 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_text_of_many_found_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "d bigint, t string")
+    found = spark.createDataFrame([(q, d) for q in range(3) for d in (1, 2, 19, 40)], "q int, d bigint")
+    want = sorted((q, d, f"t{d}") for q in range(3) for d in (1, 2, 19))
+    for few in (100, 0):
+        monkeypatch.setattr(lexical, "FEW", few)
+        assert sorted((r["q"], r["d"], r["t"]) for r in lexical.with_text(found, docs, "d", "t").collect()) == want
+
+
+def test_rows_split_in_pieces_give_the_same_terms(spark, monkeypatch):
+    texts = pa.array(["", *ODD, "", "", "z"] * 2, pa.string())
+    want, start = lexical._split(texts)
+    want, start = want.to_pylist(), start.tolist()
+    for size in (1, 7, 64):
+        monkeypatch.setattr(lexical, "BYTES", size)
+        terms, at = lexical._split(texts)
+        assert terms.to_pylist() == want and at.tolist() == start
