@@ -7,7 +7,7 @@ from test_operators import _shuffled
 
 import __spark_entry__ as entry
 from strataloom.functions import text as X
-from strataloom.operators import lexical
+from strataloom.operators import lexical, rerank
 
 ODD = ["", " ", None, "a", "  A b\tc\x0bd\x0ce\r\nf ", "x　y〿z＀q￯r", "再見。你好、ok", "é\xa0x\x85y\x1cz", "〄豈￰ıİΣς", "あ" * 50 + "。" * 3, "ｆｕｌｌ ｗｉｄｅ"]
 
@@ -68,7 +68,7 @@ def test_no_pattern_over_documents(spark, tmp_path, monkeypatch, name):
     assert len(calls) == 1  # the queries' texts
 
 
-@pytest.mark.parametrize("name", ["context_blocks"])
+@pytest.mark.parametrize("name", ["context_blocks", "model_rerank"])
 def test_moves_only_texts_that_were_found(spark, tmp_path, name):
     d, n, kept = str(tmp_path), 5000, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.range(n).selectExpr("id as doc_id", "concat('the fox ', id % 5) as text").write.parquet(f"{d}/documents.parquet")
@@ -97,3 +97,24 @@ def test_rows_split_in_pieces_give_the_same_terms(spark, monkeypatch):
         monkeypatch.setattr(lexical, "BYTES", size)
         terms, at = lexical._split(texts)
         assert terms.to_pylist() == want and at.tolist() == start
+
+
+def test_model_rerank_in_batches_of_lists(spark):
+    answers = {"a": "[1, NaN, 3, 1]", "b": "nonsense", "c": "[1]", "d": None, "e": " [2, 2, 5, -1] "}
+    shown = spark.sparkContext.broadcast(answers)
+
+    def model(prompt):
+        q, *texts = prompt.split("\n\n")
+        assert texts[0] == "[0] " + "é" * 400 and texts[1] == "[1] "
+        return shown.value[q]
+
+    texts = ["é" * 500, None, "t2", "t3"]
+    pairs = spark.createDataFrame([(q, f"{q}{i}", q, texts[i], i) for q in answers for i in (2, 0, 3, 1)], "q string, d string, query string, text string, r int")
+    df = rerank.model_rerank(pairs, "q", "d", "query", "text", "r", model, 3)
+    got = {}
+    for r in sorted(df.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["q"], []).append((r["d"], r["score"], r["rank"]))
+    as_it_was = lambda q: [(f"{q}{i}", 0.0, i + 1) for i in range(3)]
+    assert got == {"a": [("a2", 3.0, 1), ("a0", 1.0, 2), ("a3", 1.0, 3)], "e": [("e2", 5.0, 1), ("e0", 2.0, 2), ("e1", 2.0, 3)], **{q: as_it_was(q) for q in "bcd"}}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
