@@ -29,6 +29,7 @@ SLOTS = 16  # half width of the last window
 RADII = (4, 8, 16)  # half widths of the windows, c = 2
 SLACK = 1.6  # wider slice of the first array alone, 3.2 standard deviations, as all candidates come from it
 ROWS = 256  # queries handled at once
+TURN_PARTS = 2  # of a turn, one of which is in blocks at a time
 
 
 def search(x: np.ndarray, y: np.ndarray, same: bool, limit: float, k: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +117,8 @@ def neighbours(df: DataFrame, key: str, vector: str, size: int, limit: float, k:
     reps, members = V.copies(V.usable(df, key, vector, size), k)
     route = V.routing(reps, size)
     release(df.sparkSession)
-    laid = V.routed(reps, route, "named array<string>")
+    # what a single vector's name says already is left out
+    laid = V.routed(reps.withColumn("named", F.when(F.col("n") > 1, F.col("named"))), route, "named array<string>")
     # of the vectors, no more than this second copy is kept
     members, groups = cut(members), cut(reps.where("n > 1").select("rep", "named"))
     del reps
@@ -140,18 +142,31 @@ def neighbours(df: DataFrame, key: str, vector: str, size: int, limit: float, k:
         owner, other, cos = best(owner, other, cos, names, k)
         named = pdf["named"].to_numpy()
         rows: dict[int, list] = {}
-        for o, t, s in zip(owner.tolist(), other.tolist(), cos.tolist()):
-            rows.setdefault(o, []).extend({"s": -s, "other": n} for n in named[t][:k])
-        return pd.DataFrame({"rep": names[list(rows)], "near": [sorted(v, key=lambda z: (z["s"], z["other"]))[:k] for v in rows.values()]})
+        for o, t, n in zip(owner.tolist(), other.tolist(), entry_number(cos).tolist()):
+            rows.setdefault(o, []).extend(f"{n:07d}{x}" for x in ([names[t]] if named[t] is None else named[t][:k]))
+        return pd.DataFrame({"rep": names[list(rows)], "near": [sorted(v)[:k] for v in rows.values()]})
 
-    near = "array<struct<s:double,other:string>>"
-    found = V.by_turns(laid, route, "named array<string>", lambda b: b.groupBy("block").applyInPandas(run, f"rep string, near {near}"))
-    merged = found.groupBy("rep").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
+    found = V.by_turns(laid, route, "named array<string>", lambda b: b.groupBy("block").applyInPandas(run, "rep string, near array<string>"), caps=False, parts=TURN_PARTS)
+    del laid
+    release(df.sparkSession)
+    # written once, so that what it is made of can go
+    merged = cut(found.groupBy("rep").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near")))
+    del found
+    release(df.sparkSession)
     # every member of a group of copies: its copies first, then the neighbours of the group
     alone = merged.join(groups, "rep", "left_anti").select(F.col("rep").alias("key"), "rep")
     full = members.select("key", "rep").unionByName(alone).join(merged, "rep", "left").join(groups, "rep", "left")
-    same = F.transform(F.filter(F.coalesce("named", F.array().cast("array<string>")), lambda n: n != F.col("key")), lambda n: F.struct(F.lit(-1.0).alias("s"), n.alias("other")))
-    all_of = F.slice(F.sort_array(F.concat(same, F.coalesce("near", F.array().cast(near)))), 1, k)
+    none = F.array().cast("array<string>")
+    same = F.transform(F.filter(F.coalesce("named", none), lambda n: n != F.col("key")), lambda n: F.concat(F.lit("0000000"), n))
+    all_of = F.slice(F.sort_array(F.concat(same, F.coalesce("near", none))), 1, k)
     return full.select("key", F.posexplode(all_of).alias("r", "x")).select(
-        F.col("key").alias(key), F.col("x.other").alias("other"), (-F.col("x.s")).alias("cosine"), (F.col("r") + 1).cast("bigint").alias("rank")
+        F.col("key").alias(key),
+        F.expr("substring(x, 8)").alias("other"),
+        ((F.lit(1_000_000) - F.substring("x", 1, 7).cast("int")) / F.lit(1e6)).alias("cosine"),
+        (F.col("r") + 1).cast("bigint").alias("rank"),
     )
+
+
+def entry_number(cos: np.ndarray) -> np.ndarray:
+    """Millionths that rounded cosines are below 1: seven digits before a name make one text of a neighbour, by which lists are sorted."""
+    return np.maximum(0, 1_000_000 - np.rint(cos * 1e6)).astype(np.int64)

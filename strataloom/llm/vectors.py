@@ -196,8 +196,8 @@ def routed(reps: DataFrame, route: Routing, extra: str = "") -> DataFrame:
     return out
 
 
-def blocks(vectors: DataFrame, route: Routing, extra: str = "", turn: int = 0, turns: int = 1) -> DataFrame:
-    """(block, side, rep, vec, caps, extras): every vector once for each block it joins, of the directions of one turn.
+def blocks(vectors: DataFrame, route: Routing, extra: str = "", turn: int = 0, turns: int = 1, caps: bool = True) -> DataFrame:
+    """(block, side, rep, vec, caps, extras): every vector once for each block it joins, of the directions of one turn; without ``caps`` if these aren't asked for.
 
     ``vectors`` has (rep, vec, caps) as of ``routed``. The upper half of a block's
     number is its direction. A block of a split direction
@@ -205,15 +205,16 @@ def blocks(vectors: DataFrame, route: Routing, extra: str = "", turn: int = 0, t
     """
     shared = vectors.sparkSession.sparkContext.broadcast(Routing(route.directions[:0], None, route.caps, route.crowded, route.parts))
     names, kind = [x.split()[0] for x in extra.split(",") if x.strip()], route.kind
+    carried = ["rep", "vec", *["caps"] * caps, *names]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = shared.value
         for pdf in batches:
             if not len(pdf):
                 continue
-            caps = stack(pdf["caps"], kind)
-            row, place = np.nonzero(caps % turns == turn)
-            d = caps[row, place].astype(np.int64)
+            joined = stack(pdf["caps"], kind)
+            row, place = np.nonzero(joined % turns == turn)
+            d = joined[row, place].astype(np.int64)
             g = r.parts_of(d)
             own = pdf["salt"].to_numpy(np.int64)[row] % g
             # a row of part p meets every part q: block (min, max)
@@ -226,20 +227,21 @@ def blocks(vectors: DataFrame, route: Routing, extra: str = "", turn: int = 0, t
                 {
                     "block": (d[rep] << 32) | (lo << 16) | hi,
                     "side": (p == hi).astype(np.int32) * (lo != hi),
-                    **{c: pdf[c].array[at] for c in ("rep", "vec", "caps", *names)},
+                    **{c: pdf[c].array[at] for c in carried},
                 }
             )
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BLOCK) + (", " + extra if extra else "")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BLOCK if caps or f.name != "caps") + (", " + extra if extra else "")
     some = vectors.select("rep", "vec", "caps", F.pmod(F.xxhash64("rep"), F.lit(1 << 16)).alias("salt"), *names)
     return some.mapInPandas(run, schema)
 
 
-def by_turns(vectors: DataFrame, route: Routing, extra: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What ``work`` gives for the blocks of each turn, together; a turn's blocks are let go before the next."""
+def by_turns(vectors: DataFrame, route: Routing, extra: str, work: Callable[[DataFrame], DataFrame], caps: bool = True, parts: int = 1) -> DataFrame:
+    """What ``work`` gives for the blocks of each turn, together; a turn's blocks are let go before the next. Each turn is made in so many ``parts``."""
     out: DataFrame | None = None
-    for k in range(route.turns):
-        part = cut(work(blocks(vectors, route, extra, k, route.turns)))
+    turns = route.turns * parts
+    for k in range(turns):
+        part = cut(work(blocks(vectors, route, extra, k, turns, caps)))
         release(vectors.sparkSession)
         out = part if out is None else out.unionByName(part)
     return out

@@ -209,3 +209,20 @@ def test_a_turn_has_one_copy_of_each_vector(spark, monkeypatch, found):
     monkeypatch.setattr(V, "blocks", seen)
     assert found(frame(spark, names, x))
     assert len(made) >= 4 and all(rows < 1.6 * n for rows, n in made)
+
+
+def test_neighbours_are_kept_as_short_texts_and_blocks_without_caps(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(30, SIZE)), 3, axis=0) + 0.02 * rng.normal(size=(90, SIZE))
+    x[1] = x[0]
+    df = spark.createDataFrame([(f"k{i:02d}", v.tolist()) for i, v in enumerate(x.astype(np.float32))], "chunk_uid string, embedding array<float>")
+    carried, blocks = [], V.blocks
+    monkeypatch.setattr(V, "blocks", lambda *a, **k: carried.append((b := blocks(*a, **k)).columns) or b)
+    got = {(r["chunk_uid"], r["rank"]): (r["other"], r["cosine"]) for r in K.neighbours(df, "chunk_uid", "embedding", SIZE, LIMIT, 2).collect()}
+    u = x.astype(np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    c = np.round(u @ u.T, 6)
+    for i in range(90):
+        want = sorted((j for j in range(90) if j != i and c[i, j] >= LIMIT), key=lambda j: (-c[i, j], j))[:2]
+        assert [got[f"k{i:02d}", r + 1] for r in range(2)] == [(f"k{j:02d}", c[i, j]) for j in want]
+    assert carried and all("caps" not in names for names in carried)
