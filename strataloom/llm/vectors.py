@@ -50,8 +50,8 @@ def usable(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
     )
 
 
-def copies(vectors: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Exact copies of a vector as one: (rep, v, named, n) and, of groups of several, members (key, rep).
+def copies(vectors: DataFrame, k: int = 5, numbered: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Exact copies of a vector as one: (rep, v, named, n) and, of groups of several, members (key, rep). If ``numbered``, also ``id``, a number of each.
 
     ``rep`` is the smallest key of the copies, ``named`` the k + 1 smallest, so that each has k others, ``n`` their number. Only keys and hashes
     are grouped, names cut to a few within each task before the shuffle, so a group of a third of all rows
@@ -66,8 +66,9 @@ def copies(vectors: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     info = keys.join(several.join(named, group), group).select("key", "rep", "n", "named")
     own = F.coalesce(F.col("rep") == F.col("key"), F.lit(True))
     # what a single vector's key says already is left null, as this is written
-    all_of = cut(marked.join(info, "key", "left").select("key", "rep", "n", F.when(own, F.col("v")).alias("v"), F.when(own, F.col("named")).alias("named")))
-    reps = all_of.where("v is not null").select(F.col("key").alias("rep"), "v", F.coalesce("named", F.array("key")).alias("named"), F.coalesce("n", F.lit(1)).alias("n"))
+    ids = [F.monotonically_increasing_id().alias("id")] * numbered
+    all_of = cut(marked.join(info, "key", "left").select("key", "rep", "n", F.when(own, F.col("v")).alias("v"), F.when(own, F.col("named")).alias("named"), *ids))
+    reps = all_of.where("v is not null").select(F.col("key").alias("rep"), "v", F.coalesce("named", F.array("key")).alias("named"), F.coalesce("n", F.lit(1)).alias("n"), *["id"] * numbered)
     return reps, all_of.where("n > 1").select("key", "rep")
 
 
@@ -160,8 +161,19 @@ BLOCK = T.StructType(
 )
 
 
-def routed(reps: DataFrame, route: Routing, extra: str = "") -> DataFrame:
-    """(rep, vec, caps, extras): the vectors ``v`` as bytes with the numbers of their directions, written once for all turns.
+def coded(x: np.ndarray) -> np.ndarray:
+    """Rows as 16-bit numbers, each row with a scale of its own; code_error bounds what that does."""
+    x = x.astype(np.float64)
+    return np.rint(x * ((2**15 - 1) / np.abs(x).max(axis=1, keepdims=True))).astype(np.int16)
+
+
+def code_error(size: int) -> float:
+    """Most by which the distance of two codes at unit length is off, and their cosine: either is at most half a step off in each number, and at least 2^15 - 1 steps long."""
+    return 1.05 * math.sqrt(size) / (2**15 - 1)
+
+
+def routed(reps: DataFrame, route: Routing, extra: str = "", codes: bool = False) -> DataFrame:
+    """(rep, vec, caps, extras): the vectors ``v`` as bytes, or their codes, with the numbers of their directions, written once for all turns.
 
     Counts the load of each direction, within each task before the shuffle, and tells ``route`` of the crowded ones: at most
     caps x vectors / PART_ROWS numbers.
@@ -177,7 +189,7 @@ def routed(reps: DataFrame, route: Routing, extra: str = "") -> DataFrame:
                 continue
             x = np.stack(pdf["v"].to_numpy()).astype(np.float32)
             caps = r.of(unit_rows(x)).astype(r.kind)
-            yield pdf[["rep", *names]].assign(vec=[b.tobytes() for b in x], caps=[c.tobytes() for c in caps])[["rep", "vec", "caps", *names]]
+            yield pdf[["rep", *names]].assign(vec=[b.tobytes() for b in (coded(x) if codes else x)], caps=[c.tobytes() for c in caps])[["rep", "vec", "caps", *names]]
 
     def loads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r, d, n = shared.value, np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -187,7 +199,7 @@ def routed(reps: DataFrame, route: Routing, extra: str = "") -> DataFrame:
                 n = np.bincount(at, np.r_[n, np.ones(len(at) - len(n))], len(d)).astype(np.int64)
         yield pd.DataFrame({"d": d, "n": n})
 
-    schema = "rep string, vec binary, caps binary" + (", " + extra if extra else "")
+    schema = f"rep {reps.schema['rep'].dataType.simpleString()}, vec binary, caps binary" + (", " + extra if extra else "")
     out = cut(reps.select("rep", "v", *names).mapInPandas(run, schema))
     load = out.select("caps").mapInPandas(loads, "d bigint, n bigint").groupBy("d").agg(F.sum("n").alias("n")).where(F.col("n") > PART_ROWS)
     crowded = load.toPandas().sort_values("d")
@@ -196,12 +208,12 @@ def routed(reps: DataFrame, route: Routing, extra: str = "") -> DataFrame:
     return out
 
 
-def blocks(vectors: DataFrame, route: Routing, extra: str = "", turn: int = 0, turns: int = 1, caps: bool = True) -> DataFrame:
+def blocks(vectors: DataFrame, route: Routing, extra: str = "", turn: int = 0, turns: int = 1, caps: bool = True, only: np.ndarray | None = None) -> DataFrame:
     """(block, side, rep, vec, caps, extras): every vector once for each block it joins, of the directions of one turn; without ``caps`` if these aren't asked for.
 
     ``vectors`` has (rep, vec, caps) as of ``routed``. The upper half of a block's
     number is its direction. A block of a split direction
-    has the two parts as sides 0 and 1; ``extra`` names further columns to carry, with their types.
+    has the two parts as sides 0 and 1; ``extra`` names further columns to carry, with their types, ``only`` the numbers of the blocks asked for, if not all are.
     """
     shared = vectors.sparkSession.sparkContext.broadcast(Routing(route.directions[:0], None, route.caps, route.crowded, route.parts))
     names, kind = [x.split()[0] for x in extra.split(",") if x.strip()], route.kind
@@ -222,26 +234,23 @@ def blocks(vectors: DataFrame, route: Routing, extra: str = "", turn: int = 0, t
             q = np.arange(len(rep)) - np.repeat(np.cumsum(g) - g, g)
             p = own[rep]
             lo, hi = np.minimum(p, q), np.maximum(p, q)
-            at = row[rep]
-            yield pd.DataFrame(
-                {
-                    "block": (d[rep] << 32) | (lo << 16) | hi,
-                    "side": (p == hi).astype(np.int32) * (lo != hi),
-                    **{c: pdf[c].array[at] for c in carried},
-                }
-            )
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BLOCK if caps or f.name != "caps") + (", " + extra if extra else "")
+            block, side, at = (d[rep] << 32) | (lo << 16) | hi, (p == hi).astype(np.int32) * (lo != hi), row[rep]
+            if only is not None:
+                some = np.isin(block, only)
+                block, side, at = block[some], side[some], at[some]
+            yield pd.DataFrame({"block": block, "side": side, **{c: pdf[c].array[at] for c in carried}})
+
+    kinds = {f.name: f.dataType.simpleString() for f in [*BLOCK, vectors.schema["rep"]] if caps or f.name != "caps"}
+    schema = ", ".join(" ".join(x) for x in kinds.items()) + (", " + extra if extra else "")
     some = vectors.select("rep", "vec", "caps", F.pmod(F.xxhash64("rep"), F.lit(1 << 16)).alias("salt"), *names)
     return some.mapInPandas(run, schema)
 
 
-def by_turns(vectors: DataFrame, route: Routing, extra: str, work: Callable[[DataFrame], DataFrame], caps: bool = True, parts: int = 1) -> DataFrame:
-    """What ``work`` gives for the blocks of each turn, together; a turn's blocks are let go before the next. Each turn is made in so many ``parts``."""
+def by_turns(vectors: DataFrame, route: Routing, extra: str, work: Callable[[DataFrame], DataFrame], caps: bool = True, only: np.ndarray | None = None) -> DataFrame:
+    """What ``work`` gives for the blocks of each turn, together; a turn's blocks are let go before the next."""
     out: DataFrame | None = None
-    turns = route.turns * parts
-    for k in range(turns):
-        part = cut(work(blocks(vectors, route, extra, k, turns, caps)))
+    for k in range(route.turns):
+        part = cut(work(blocks(vectors, route, extra, k, route.turns, caps, only)))
         release(vectors.sparkSession)
         out = part if out is None else out.unionByName(part)
     return out

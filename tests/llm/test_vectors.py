@@ -226,3 +226,42 @@ def test_neighbours_are_kept_as_short_texts_and_blocks_without_caps(spark, monke
         want = sorted((j for j in range(90) if j != i and c[i, j] >= LIMIT), key=lambda j: (-c[i, j], j))[:2]
         assert [got[f"k{i:02d}", r + 1] for r in range(2)] == [(f"k{j:02d}", c[i, j]) for j in want]
     assert carried and all("caps" not in names for names in carried)
+
+
+def test_collisions_are_counted_on_bits():
+    rng = np.random.default_rng(21)
+    bits = rng.random((24, 5, 128)) < 0.7
+    words = [np.packbits(b, axis=1, bitorder="little").view(np.uint64) for b in bits]
+    for least in (1, 8, 16, 19, 24):
+        got = np.unpackbits(K.at_least(words, least).view(np.uint8), axis=1, bitorder="little")
+        assert (got == (bits.sum(0) >= least)).all()
+
+
+def test_blocks_carry_codes_and_no_names(spark, monkeypatch):
+    names, x = data(22, groups=10, each=7, noise=50)
+    pairs, _ = brute(names, x)
+    carried, blocks = [], V.blocks
+    monkeypatch.setattr(V, "blocks", lambda *a, **k: carried.append((b := blocks(*a, **k)).first().asDict()) or b)
+    got = found_pairs(frame(spark, names, x))
+    assert got <= pairs and len(got) >= 0.97 * len(pairs)
+    assert carried and all(len(r["vec"]) == 2 * SIZE and isinstance(r["rep"], int) for r in carried)
+
+
+def test_codes_are_off_by_no_more_than_stated():
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(2000, SIZE)) * rng.uniform(1e-30, 1e30, size=(2000, 1))
+    x[:500, 1:] *= 1e-4
+    unit = lambda z: z / np.linalg.norm(z, axis=1, keepdims=True)
+    u, c = unit(x), unit(V.coded(x).astype(np.float64))
+    y, d = np.roll(u, 1, 0), np.roll(c, 1, 0)
+    assert (np.abs(np.linalg.norm(u - y, axis=1) - np.linalg.norm(c - d, axis=1)) <= V.code_error(SIZE)).all()
+    assert (np.abs((u * y).sum(1) - (c * d).sum(1)) <= V.code_error(SIZE)).all()
+
+
+def test_more_near_vectors_than_codes_tell_apart(spark):
+    """Their blocks are searched again with exact vectors; none is left out and ties go to the smaller name."""
+    rng = np.random.default_rng(24)
+    names, x = data(24, groups=3, each=6, noise=20)
+    dense = rng.normal(size=SIZE) + 1e-4 * rng.normal(size=(K.MANY + 30, SIZE))
+    names, x = names + [f"8{i:03}" for i in range(len(dense))], np.r_[x, dense.astype(np.float32)]
+    assert found_pairs(frame(spark, names, x)) == brute(names, x)[0]
